@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read
 from lattica.llm.token_counts import token_counts
+from lattica.llm.toxicity import toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -15,5 +16,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {"op3_token_counts": op3_token_counts}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op7_toxicity)}
 SQL: dict[str, str] = {}

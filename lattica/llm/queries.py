@@ -6,19 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read
+from lattica.llm.packing import packed
+from lattica.llm.quality_net import quality
 from lattica.llm.token_counts import token_counts
 from lattica.llm.toxicity import toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op7_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op6_packing, op7_toxicity)}
 SQL: dict[str, str] = {}

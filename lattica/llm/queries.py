@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read
 from lattica.llm.packing import packed
+from lattica.llm import preferences as chat
+from lattica.llm import quality_rules as rules
 from lattica.llm.quality_net import quality
 from lattica.llm.token_counts import token_counts
 from lattica.llm.toxicity import toxicity
@@ -22,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(read(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -30,5 +36,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op6_packing, op7_toxicity)}
-SQL: dict[str, str] = {}
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preferences(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op5_quality_rules, op6_packing, op7_toxicity, op9_preferences)}
+SQL: dict[str, str] = {"op5_quality_rules": rules.SQL, "op9_preferences": chat.SQL}

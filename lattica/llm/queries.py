@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read
+from lattica.llm.fingerprints import fingerprints
 from lattica.llm.packing import packed
 from lattica.llm import preferences as chat
 from lattica.llm import quality_rules as rules
@@ -36,9 +37,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op5_quality_rules, op6_packing, op7_toxicity, op9_preferences)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op5_quality_rules, op6_packing, op7_toxicity, op8_fingerprints, op9_preferences)}
 SQL: dict[str, str] = {"op5_quality_rules": rules.SQL, "op9_preferences": chat.SQL}

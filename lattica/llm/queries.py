@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read
 from lattica.llm.fingerprints import fingerprints
+from lattica.llm.near_dups import near_dups
 from lattica.llm.packing import packed
 from lattica.llm import preferences as chat
 from lattica.llm import quality_rules as rules
@@ -25,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preferences(read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op5_quality_rules, op6_packing, op7_toxicity, op8_fingerprints, op9_preferences)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_token_counts, op4_near_dups, op5_quality_rules, op6_packing, op7_toxicity, op8_fingerprints, op9_preferences)}
 SQL: dict[str, str] = {"op5_quality_rules": rules.SQL, "op9_preferences": chat.SQL}

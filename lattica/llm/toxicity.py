@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm.common import crc_of, sampled, sliced, texts_of
 
@@ -185,23 +186,31 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
     return per_bucket, bias - float(cuts[np.flatnonzero(cost <= cost.min() + 1e-9)].mean())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 40_000, threshold: float = 0.5) -> DataFrame:
-    """Score every whole text of docs (doc_id, text); learn from labels (doc_id, toxic).
+def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
+    """Score every whole text of docs (doc_id, text); learn from labels (doc_id, toxic) and the texts in training (else docs).
 
     Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic rows, with
-    texts of up to most_chars; scoring has no bound. Every row gives one row: a null or empty text gets the
-    score of no evidence; a null id is scored, with held_out null; repeated rows stay; other columns are not read.
-    With no labels, or of one class only, every text gets the smoothed share of toxic labels.
+    texts of up to most_chars; scoring has no bound. Every row gives one row: a null or empty text gets the score of no
+    evidence; a null id is scored, with held_out null; repeated rows stay. Other columns aren't read; keep_columns: all
+    columns of docs stay, with tox_score and tox_predicted. With no labels, or of one class only, every text gets the
+    smoothed share of toxic labels.
     """
-    texts, y = training_rows(docs, labels, "toxic", 5, 0, (most_clean, most_toxic), most_chars)
+    texts, y = training_rows(docs if training is None else training, labels, "toxic", 5, 0, (most_clean, most_toxic), most_chars)
     per_bucket, bias = fitted(texts, y)
+    if keep_columns:
+        rows, text, first, last = docs, "text", [], ("tox_score", "tox_predicted")
+    else:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of("doc_id") % 5 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+        text, first, last = "text", ["doc_id", "held_out"], ("score", "predicted")
+    first = first or rows.columns
+    schema = T.StructType([*(rows.schema[c] for c in first), T.StructField(last[0], T.DoubleType()), T.StructField(last[1], T.IntegerType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(per_bucket, bias)
-        for batch in sliced(batches, "text"):
-            scorer.learn(texts_of(batch.column("text")))
-            score = np.array([scorer.score(t) for t in texts_of(batch.column("text"))], np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        for batch in sliced(batches, text):
+            found = texts_of(batch.column(text))
+            scorer.learn(found)
+            score = np.array([scorer.score(t) for t in found], np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*first, *last])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of("doc_id") % 5 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(rate, schema)

@@ -224,20 +224,26 @@ def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, similarit
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
+    least = REGISTERS * (similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS))
+
     def run(table: pa.Table) -> pa.Table:
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         node, component, block, n = (table[c].to_numpy() for c in ("node", "component", "block", "n"))
         if len(node) > 1 and (component != component[0]).any():
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+            order = np.argsort(node, kind="stable")
+            node, component, block, n, sketch = node[order], component[order], block[order], n[order].astype(np.float64), sketch[order]
             one = table["i"][0].as_py() == table["j"][0].as_py()
-            for k in range(len(node)):
-                other = (component != component[k]) & (node > node[k]) & (np.minimum(n, n[k]) >= similarity * np.maximum(n, n[k]) - 1)
+            for k in range(len(node) - 1):
+                rest = slice(k + 1, None)
+                # Registers are equal with at least the chance of the similarity, so few equal ones rule a pair out.
+                near = np.count_nonzero(sketch[rest] == sketch[k], axis=1) >= least
+                near &= (component[rest] != component[k]) & (node[rest] > node[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1)
                 if not one:
-                    other &= block != block[k]
-                at = np.flatnonzero(other)
+                    near &= block[rest] != block[k]
+                at = k + 1 + np.flatnonzero(near)
                 if len(at):
-                    x = np.broadcast_to(sketch[k], (len(at), REGISTERS))
-                    at = at[could_be(sketch[at], x, n[at].astype(np.float64), np.full(len(at), float(n[k])), similarity)]
+                    at = at[could_be(sketch[at], np.broadcast_to(sketch[k], (len(at), REGISTERS)), n[at], np.full(len(at), n[k]), similarity)]
                     found_a.append(np.full(len(at), node[k]))
                     found_b.append(node[at])
         return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})

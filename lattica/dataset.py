@@ -119,8 +119,9 @@ class Dataset:
         return self.df.select(*out)
 
     def ToPython(self) -> list:
-        """All rows as Python values: of one slice its values, else dicts. For results that are known to be small."""
-        rows = [r.asDict(True) for r in self.toDF().collect()]
+        """All rows as Python values, in row order if there is one: of one slice its values, else dicts. For small results."""
+        df = self.df.orderBy(*self.order_by) if self.order_by else self.df
+        rows = [r.asDict(True) for r in self._with(df=df).toDF().collect()]
         return [next(iter(r.values())) for r in rows] if len(self.slices) == 1 else rows
 
     def Show(self, n: int = 10) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lattica.expr import Expr
+from lattica.types import common_type
 
 if TYPE_CHECKING:
     from lattica.dataset import Dataset
@@ -67,9 +68,13 @@ def Match(self: Dataset, other: Dataset, left: Any = None, right: Any = None, jo
     elif merge_same:
         merge = keys | {a.slice(n).column: b.slice(n).column for n in merge_same}
     elif jointype == "inner":
-        merge = {x: y for x, y in keys.items() if x.replace("l", "r", 1) and _name(a, x) == _name(b, y)}
-    if merge:
-        df = df.withColumns({x: F.col(x) if jointype == "inner" and x in keys else F.coalesce(x, y) if x in keys else _one(F.col(x), F.col(y)) for x, y in merge.items()})
+        merge = {x: y for x, y in keys.items() if _name(a, x) == _name(b, y)}
+    made = {}
+    for x, y in merge.items():
+        t = common_type(df.schema[x].dataType, df.schema[y].dataType)
+        own, its = F.col(x).cast(t), F.col(y).cast(t)
+        made[x] = own if jointype == "inner" and x in keys else F.coalesce(own, its) if x in keys else _one(own, its)
+    df = df.withColumns(made) if made else df
     gone = set(merge.values())
     return _joined(self, other, df.drop(*gone), [*a.slices, *(s for s in b.slices if s.column not in gone)])
 

@@ -23,9 +23,12 @@ LOWEST = np.float32(-1e9)
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts, each padded to whole blocks; blocks of each text; which positions hold a text's bytes."""
+    """Bytes of all texts, each padded to whole blocks; blocks of each text; which positions hold a text's bytes.
+
+    A filter at a text's last byte sees only padding behind it, so a text's score doesn't depend on others.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    blocks = -(-size // BLOCK)
+    blocks = np.where(size > 0, -(-(size + WIDTH - 1) // BLOCK), 0)
     start = (np.cumsum(blocks) - blocks) * BLOCK
     data = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
     real = np.zeros(int(blocks.sum()) * BLOCK, bool)

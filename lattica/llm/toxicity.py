@@ -23,6 +23,10 @@ BUCKETS = 1 << BITS
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Subwords in fewer texts than this have no vector.
 LEAST = 6
+#: Where in a gap between clean and toxic texts the cut lies: misspellings are in the gap, so nearer to the clean ones.
+LOW = 0.35
+#: The weight of a subword without a vector in a word's average.
+UNKNOWN = 0.3
 #: How much the highest words count beyond others.
 SHARP = 1.0
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&_-–—…«»“”‘’"
@@ -53,6 +57,11 @@ def bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((every * PRIME) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(owners)
 
 
+def weights(known: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """What a word's sum is divided by: subwords with a vector count whole, others (as in a misspelling) less."""
+    return np.maximum(known + UNKNOWN * (total - known), 1)
+
+
 def words(text: str) -> list[str]:
     return text.lower().split()
 
@@ -77,13 +86,19 @@ class Model:
         coded = [np.array(sorted({index.setdefault(w.strip(STRIP), len(index)) for w in words(t)}), np.int64) for t in texts]
         bucket, owner = bags(list(index))
         order = np.argsort(owner, kind="stable")
-        bucket, size_of = bucket[order], np.bincount(owner, minlength=len(index))
-        first = np.cumsum(size_of) - size_of
+        bucket, total = bucket[order], np.bincount(owner, minlength=len(index))
         in_texts = np.bincount(np.concatenate(coded), minlength=len(index))
-        common = np.bincount(bucket, np.repeat(in_texts, size_of), BUCKETS) >= LEAST
-        self.vectors *= common[:, None]  # what hardly occurs can only be learned by heart
+        # What hardly occurs could only be learned by heart: it has no vector. The rest is trained by itself.
+        active = np.flatnonzero(np.bincount(bucket, np.repeat(in_texts, total), BUCKETS) >= LEAST)
+        place = np.full(BUCKETS, -1, np.int64)
+        place[active] = np.arange(len(active))
+        owner, bucket = owner[order][place[bucket] >= 0], place[bucket][place[bucket] >= 0]
+        size_of = np.bincount(owner, minlength=len(index))
+        weight = weights(size_of, total)
+        first = np.cumsum(size_of) - size_of
+        vectors = self.vectors[active]
         rng = np.random.default_rng(seed)
-        params = [self.vectors, self.out, self.bias]
+        params = [vectors, self.out, self.bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
         sides = [np.flatnonzero(labels == c) for c in (0, 1)]
         for step in range(1, steps + 1):
@@ -98,8 +113,9 @@ class Model:
             at = np.concatenate([[0], np.cumsum(size)])
             flat = bucket[np.arange(at[-1]) + np.repeat(first[uniq] - at[:-1], size)]
             diff = self.out[:, 1] - self.out[:, 0]
-            z = self.vectors @ diff
-            value = (np.add.reduceat(z[flat], at[:-1]) / size)[back]
+            z = np.append(vectors @ diff, 0)
+            sums = np.concatenate([[0.0], np.cumsum(z[flat], dtype=np.float64)])
+            value = ((sums[at[1:]] - sums[at[:-1]]) / weight[uniq])[back]
             top = np.maximum.reduceat(value, edge[:-1])
             length = np.diff(edge)
             share = np.exp(SHARP * (value - np.repeat(top, length)))
@@ -107,14 +123,16 @@ class Model:
             logit = np.add.reduceat(share * value, edge[:-1]) + self.bias[1] - self.bias[0]
             error = 1 / (1 + np.exp(-logit)) - y
             error *= np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-            per_word = np.bincount(back, share * np.repeat(error, length), len(uniq)) / size
-            hit = np.bincount(flat, np.repeat(per_word, size), BUCKETS) * common
-            toward = hit @ self.vectors
+            per_word = np.bincount(back, share * np.repeat(error, length), len(uniq)) / weight[uniq]
+            hit = np.bincount(flat, np.repeat(per_word, size), len(active))
+            toward = hit @ vectors
             grads = [np.outer(hit, diff).astype(np.float32), np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()])]
             for p, g, (m, v) in zip(params, grads, moments):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7) + (decay * p if p is self.vectors else 0))
+                p -= rate * ((m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7) + (decay * p if p is vectors else 0))
+        self.vectors[:] = 0
+        self.vectors[active] = vectors
         return self
 
     def folded(self) -> tuple[np.ndarray, float]:
@@ -132,7 +150,8 @@ class Scorer:
     def values(self, new: list[str]) -> np.ndarray:
         """The mean over each word's subwords."""
         bucket, owner = bags(new)
-        return np.bincount(owner, self.per_bucket[bucket], len(new)) / np.bincount(owner, minlength=len(new))
+        z = self.per_bucket[bucket]
+        return np.bincount(owner, z, len(new)) / weights(np.bincount(owner, z != 0, len(new)), np.bincount(owner, minlength=len(new)))
 
     def learn(self, texts: list[str]) -> None:
         """Work out all new words of these texts at once."""
@@ -167,7 +186,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
 
 
 def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray, float]:
-    """Fit on all but one in `share` rows; with the others shift the bias to where both kinds of error are fewest."""
+    """Fit on all but one in `share` rows; with the others shift the bias to where errors are fewest; a clean text called toxic counts twice."""
     if len(set(y.tolist())) < 2 or min(np.bincount(y)) < 2 * share:
         return Model().fit(texts, y).folded()
     kept = np.zeros(len(y), bool)
@@ -179,7 +198,7 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
     odds = np.array([scorer.odds(t) for t in own])
     order = np.argsort(odds)
     odds, toxic = odds[order], y[kept][order]
-    cuts = np.concatenate([[odds[0] - 1], (odds[1:] + odds[:-1]) / 2, [odds[-1] + 1]])
+    cuts = np.concatenate([[odds[0] - 1], odds[:-1] + LOW * np.diff(odds), [odds[-1] + 1]])
     missed = np.concatenate([[0], np.cumsum(toxic)]) / toxic.sum()
     wrong = 1 - np.concatenate([[0], np.cumsum(1 - toxic)]) / (1 - toxic).sum()
     cost = missed + 2 * wrong

@@ -45,7 +45,7 @@ def rows_in_band(similarity: float) -> int:
 class Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

@@ -102,7 +102,7 @@ class Pieces:
 class Encoder:
     """Encodes texts; keeps the ids of stretches, up to a bound."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000):
+    def __init__(self, pieces: Pieces, most: int = 200_000):
         self.pieces, self.most = pieces, most
         self.known: dict[str, bytes] = {}
 
@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             texts = texts_of(batch.column("text"))
             ids = encoder.encode(texts)
             out = [

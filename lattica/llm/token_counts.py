@@ -18,12 +18,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Tokens of every text, as the library for the tokenizer file counts them, with no added special tokens.
 
     Every row gives one row; null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows
-    stay; other columns are not read. One task holds at most about 4 MB of text at a time, or one text.
+    stay; other columns are not read. One task holds at most about 1 MB of text at a time, or one text.
     """
     # fmt: off
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             n = pa.array(machine.counts(texts_of(batch.column("text"))), pa.int64())
             size = pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

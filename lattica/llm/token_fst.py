@@ -18,6 +18,7 @@ All pre-tokens of a batch run in lockstep over numpy arrays.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
@@ -119,7 +120,7 @@ def split_marks(classes: np.ndarray, width: int = 96) -> np.ndarray:
 class Merger:
     """The merge transducer of a byte-level BPE vocabulary, made state by state as needed."""
 
-    def __init__(self, path: str, most_states: int = 500_000):
+    def __init__(self, path: str, most_states: int = 250_000):
         model = json.load(open(path, encoding="utf-8"))
         to_byte = _byte_alphabet()
         vocab = model["model"]["vocab"]
@@ -133,18 +134,33 @@ class Merger:
         self.length = np.zeros(max([*self.bytes, *self.specials.values()]) + 1, np.int32)
         for i, b in self.bytes.items():
             self.length[i] = len(b)
-        self.inner = {b[:k] for b in self.ids for k in range(1, len(b))}  # what a token extends
-        self.fits: dict[tuple[int, int], bool] = {}
+        # A trie of the tokens: child by node and byte, the token that ends at a node (or -1), whether any goes on there.
+        self.child: dict[int, int] = {}
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)
+        for b, i in self.ids.items():
+            node = 0
+            for c in b:
+                self.inner[node] = 1
+                at = self.child.get(node << 8 | c)
+                if at is None:
+                    at = self.child[node << 8 | c] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.inner.append(0)
+                node = at
+            self.token_at[node] = i
+        self.fits: dict[int, bool] = {}
         self.most_states = most_states
         self._reset()
 
     def _reset(self) -> None:
-        self.keys: dict[tuple, int] = {}
-        self.states: list[tuple] = []
+        # A state's key is a list of (trie node of a suffix, token before it or -1, count before it, relative to now),
+        # the longest suffix first and the empty one last, as 32-bit numbers.
+        self.keys: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.last = np.full(1024, -1, np.int32)
         self.size = 0
         self._table(16)
-        self._state(((b"", -1, 0),))
+        self._state([0, -1, 0])
 
     def _table(self, bits: int) -> None:
         """An empty open-addressing table of transitions, by state and byte."""
@@ -184,14 +200,15 @@ class Merger:
         made = [self._step(x >> 8, x & 255) for x in keys.tolist()]
         self._put(keys, np.array([x[0] for x in made], np.int32), np.array([x[1] for x in made], np.int8))
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, numbers: list[int]) -> int:
+        key = array("i", numbers).tobytes()
         s = self.keys.get(key)
         if s is None:
             s = self.keys[key] = len(self.states)
             self.states.append(key)
             if s == len(self.last):
                 self.last = np.concatenate([self.last, np.full_like(self.last, -1)])
-            self.last[s] = key[-1][1]
+            self.last[s] = numbers[-2]
         return s
 
     def merged(self, text: bytes) -> list[int]:
@@ -211,23 +228,25 @@ class Merger:
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         """The state that a byte leads to, and the change in the number of tokens."""
-        b = bytes([byte])
-        grown = []  # suffixes, longest first, with the token and the count before them
+        held = array("i", self.states[state])
+        grown: list[tuple[int, int, int]] = []
         found = None
-        for suffix, before, count in self.states[state]:
-            longer = suffix + b
-            token = self.ids.get(longer)
-            if token is not None and found is None:
-                pair = before, token
+        for k in range(0, len(held), 3):
+            node = self.child.get(held[k] << 8 | byte)
+            if node is None:
+                continue
+            before, count, token = held[k + 1], held[k + 2], self.token_at[node]
+            if token >= 0 and found is None:
+                pair = before << 32 | token
                 fit = self.fits.get(pair)
                 if fit is None:
-                    fit = self.fits[pair] = self._fit(*pair)
+                    fit = self.fits[pair] = self._fit(before, token)
                 if fit:
                     found = token, count + 1
-            if longer in self.inner:
-                grown.append((longer, before, count))
+            if self.inner[node]:
+                grown.append((node, before, count))
         token, count = found
-        key = (*((s, t, c - count) for s, t, c in grown), (b"", token, 0))
+        key = [x for n, t, c in grown for x in (n, t, c - count)] + [0, token, 0]
         return self._state(key), count
 
     def run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, lasts: np.ndarray | None = None) -> np.ndarray:

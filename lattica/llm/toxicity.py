@@ -32,8 +32,13 @@ SHARP = 1.0
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&_-–—…«»“”‘’"
 
 
-def bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def bags(vocabulary: list[str], part: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word, edges marked, and of the whole word; and which word each belongs to."""
+    found = [(b.astype(np.int32), (o + k).astype(np.int32)) for k in range(0, len(vocabulary), part) for b, o in [_bags(vocabulary[k : k + part])]]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def _bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(STRIP)}>" for w in vocabulary]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -85,14 +90,16 @@ class Model:
         index: dict[str, int] = {}
         coded = [np.array(sorted({index.setdefault(w.strip(STRIP), len(index)) for w in words(t)}), np.int64) for t in texts]
         bucket, owner = bags(list(index))
-        order = np.argsort(owner, kind="stable")
+        order = np.argsort(owner, kind="stable").astype(np.int32)
         bucket, total = bucket[order], np.bincount(owner, minlength=len(index))
         in_texts = np.bincount(np.concatenate(coded), minlength=len(index))
         # What hardly occurs could only be learned by heart: it has no vector. The rest is trained by itself.
         active = np.flatnonzero(np.bincount(bucket, np.repeat(in_texts, total), BUCKETS) >= LEAST)
         place = np.full(BUCKETS, -1, np.int64)
         place[active] = np.arange(len(active))
-        owner, bucket = owner[order][place[bucket] >= 0], place[bucket][place[bucket] >= 0]
+        has = place[bucket] >= 0
+        owner, bucket = owner[order][has], place[bucket[has]].astype(np.int32)
+        del order, has
         size_of = np.bincount(owner, minlength=len(index))
         weight = weights(size_of, total)
         first = np.cumsum(size_of) - size_of
@@ -143,7 +150,7 @@ class Model:
 class Scorer:
     """Scores texts; keeps the values of words, up to a bound."""
 
-    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 500_000):
+    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 200_000):
         self.per_bucket, self.bias, self.most = per_bucket, bias, most_words
         self.known: dict[str, float] = {}
 
@@ -205,7 +212,7 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
     return per_bucket, bias - float(cuts[np.flatnonzero(cost <= cost.min() + 1e-9)].mean())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 3000, most_toxic: int = 1500, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
     """Score every whole text of docs (doc_id, text); learn from labels (doc_id, toxic) and the texts in training (else docs).
 
     Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic rows, with
@@ -226,7 +233,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_to
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(per_bucket, bias)
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, 1 << 20):
             found = texts_of(batch.column(text))
             scorer.learn(found)
             score = np.array([scorer.score(t) for t in found], np.float64)

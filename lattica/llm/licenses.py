@@ -51,6 +51,8 @@ class Tier:
         self.least = least
         bands = 1 if least >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - least))
         self.masks = [_mask(k) for k in range(bands)]
+        #: The template shingles whose hashes are a band's value: only a window that holds one of them can be retrieved.
+        self.values = {min(t, key=lambda h, mask=mask: h ^ mask) for t in templates.values() for mask in self.masks}
 
     def windows(self, hashes: Column) -> Column:
         """Numbers of the windows."""
@@ -62,13 +64,12 @@ class Tier:
     def retrieves(self, hashes: Column) -> Column:
         """Whether any window has a value of any template in any band."""
         any_band = F.lit(False)
+        if self.window == 1:  # a window is a shingle, and its value is itself
+            return F.coalesce(F.arrays_overlap(hashes, F.array(*(F.lit(t[0]) for t in self.templates.values()))), F.lit(False))
         for mask in self.masks:
             values = F.array(*(F.lit(min(h ^ mask for h in t)) for t in self.templates.values()))
-            if self.window == 1:
-                found = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask)))
-            else:
-                masked = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask)))
-                found = let(masked, lambda m: F.transform(self.windows(m), lambda k: F.array_min(self.held(m, k))))
+            masked = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask)))
+            found = let(masked, lambda m: F.transform(self.windows(m), lambda k: F.array_min(self.held(m, k))))
             any_band = any_band | F.arrays_overlap(found, values)
         return F.coalesce(any_band, F.lit(False))
 
@@ -115,11 +116,13 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size: int =
 
     A row matches a license once, by its best window (of equals the first). Null and empty texts match nothing; a null
     id stays null; repeated rows each give their matches; an empty table or no templates give no rows. Extra columns
-    are not read. Nothing is shuffled.
+    are not read. Nothing is shuffled. Matching goes on where a look-up finds a band value's shingle in the text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text").cast("string"), size).alias("hashes"))
     found = tiers(docs.sparkSession, templates, size, contained)
     none = F.array().cast("array<struct<license:string,containment:double,place:bigint>>")
+    # A window's value equals a template's only where it holds the shingle that gives the value: look those up first.
+    rows = rows.where(F.arrays_overlap("hashes", F.array(*map(F.lit, sorted({v for t in found for v in t.values}))).cast("array<long>"))) if found else rows.limit(0)
     # Only a row that a tier retrieves is verified against the tier's templates.
     each = [F.when(t.retrieves(F.col("hashes")), F.array(*t.matches(F.col("hashes")))).otherwise(none) for t in found]
     hits = rows.select("doc_id", F.explode(F.filter(F.concat(none, *each), lambda m: m["containment"] >= contained - 1e-9)).alias("m"))

@@ -15,12 +15,14 @@ from lattica.llm.toxicity import toxicity
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that operator 7 doesn't call toxic; scores come in the same pass as the rows."""
-    return toxicity(docs, read(spark, sf_dir, "labels"), training=read(spark, sf_dir, "documents"), keep_columns=True).where("tox_predicted = 0").select(*docs.columns)
+    rated = toxicity(docs, read(spark, sf_dir, "labels"), training=read(spark, sf_dir, "documents"), keep_columns=True)
+    return rated.where(F.col(rated.columns[-1]) == 0).select(*docs.columns)
 
 
 def without_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that operator 5 keeps."""
-    return quality_rules(docs, keep_columns=True).where("rule_kept").select(*docs.columns)
+    judged = quality_rules(docs, keep_columns=True)
+    return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

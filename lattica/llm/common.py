@@ -92,6 +92,13 @@ def sampled(df: DataFrame, keys: list[str], by: str, most: tuple[int, ...]) -> D
     return out
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """The prefix, longer by underscores while a column's name begins with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 with A-Z as a-z; other letters stay."""
     return text.encode("utf-8", "replace").lower()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import WORD_GAP, let, null_as
+from lattica.llm.common import WORD_GAP, free_prefix, let, null_as
 
 #: Frequent words of English, German, French and Spanish.
 STOP_WORDS = "a and are as at be by for from in is it of on or that the this to was with auf das dem den der des die ein eine für ist mit nicht sich und von zu au avec dans de du en et la le les pour que qui sur un une al con del el es las los no por se su y".split()
@@ -56,46 +56,47 @@ def compiled(rules: list[tuple[str, float | None, float | None]], measures: dict
 
 
 def quality_rules(docs: DataFrame, rules: list[tuple[str, float | None, float | None]] = RULES, keep_columns: bool = False) -> DataFrame:
-    """Counts and verdict of every text; keep_columns: beside the columns of docs, under names that begin with rule_.
+    """Counts and verdict of every text; keep_columns: beside the columns of docs, with the verdict as the last one, rule_kept.
 
     Every row gives one row. A null or empty text has no words and fails. A null id stays null; repeated rows stay;
     extra columns are not read, or kept as they are.
     """
+    p = free_prefix(docs.columns, "rule_")
     text = null_as(F.col("text").cast("string"))
     own = [F.col(c) for c in docs.columns] if keep_columns else [F.col("doc_id").cast("long").alias("doc_id")]
     # Two projections: what the second names often, the first works out once.
-    first = docs.select(*own, text.alias("rule_text"), F.array_remove(F.split(text, WORD_GAP), "").alias("rule_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("rule_lines"))
-    words, lines = F.col("rule_words"), F.col("rule_lines")
+    first = docs.select(*own, text.alias(f"{p}text"), F.array_remove(F.split(text, WORD_GAP), "").alias(f"{p}words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(f"{p}lines"))
+    words, lines = F.col(f"{p}words"), F.col(f"{p}lines")
     stop_count = F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS)))
     second = first.select(
         *([F.col(c) for c in docs.columns] if keep_columns else ["doc_id"]),
-        F.size(words).cast("long").alias("rule_n_words"),
-        F.length(F.translate(F.col("rule_text"), " \t\n\x0b\x0c\r", "")).cast("long").alias("rule_word_chars"),
-        without(F.col("rule_text"), "#*$%&|<>").alias("rule_n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("rule_n_dup_lines"),
-        repeated_words(words).cast("long").alias("rule_n_repeat_words"),
-        F.size(lines).alias("rule_n_lines"),
-        stop_count.alias("rule_n_stops"),
-        without(F.col("rule_text"), "!").alias("rule_n_exclaim"),
-        without(F.col("rule_text"), "|•·").alias("rule_n_bars"),
+        F.size(words).cast("long").alias(f"{p}n_words"),
+        F.length(F.translate(F.col(f"{p}text"), " \t\n\x0b\x0c\r", "")).cast("long").alias(f"{p}word_chars"),
+        without(F.col(f"{p}text"), "#*$%&|<>").alias(f"{p}n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(f"{p}n_dup_lines"),
+        repeated_words(words).cast("long").alias(f"{p}n_repeat_words"),
+        F.size(lines).alias(f"{p}n_lines"),
+        stop_count.alias(f"{p}n_stops"),
+        without(F.col(f"{p}text"), "!").alias(f"{p}n_exclaim"),
+        without(F.col(f"{p}text"), "|•·").alias(f"{p}n_bars"),
     )
-    n = F.greatest(F.col("rule_n_words"), F.lit(1))
+    n = F.greatest(F.col(f"{p}n_words"), F.lit(1))
     measures = {
-        "words": F.col("rule_n_words"),
-        "mean_word_chars": F.col("rule_word_chars") / n,
-        "symbols_per_word": F.col("rule_n_symbols") / n,
-        "exclamations_per_word": F.col("rule_n_exclaim") / n,
-        "bars_and_bullets_per_word": F.col("rule_n_bars") / n,
-        "stop_word_share": F.col("rule_n_stops") / n,
-        "repeated_word_share": F.col("rule_n_repeat_words") / n,
-        "duplicate_line_share": F.col("rule_n_dup_lines") / F.greatest(F.col("rule_n_lines"), F.lit(1)),
+        "words": F.col(f"{p}n_words"),
+        "mean_word_chars": F.col(f"{p}word_chars") / n,
+        "symbols_per_word": F.col(f"{p}n_symbols") / n,
+        "exclamations_per_word": F.col(f"{p}n_exclaim") / n,
+        "bars_and_bullets_per_word": F.col(f"{p}n_bars") / n,
+        "stop_word_share": F.col(f"{p}n_stops") / n,
+        "repeated_word_share": F.col(f"{p}n_repeat_words") / n,
+        "duplicate_line_share": F.col(f"{p}n_dup_lines") / F.greatest(F.col(f"{p}n_lines"), F.lit(1)),
     }
-    failed = (F.col("rule_n_words") < 50) | (F.col("rule_n_repeat_words") * 100 > F.col("rule_n_words") * 50)
+    failed = (F.col(f"{p}n_words") < 50) | (F.col(f"{p}n_repeat_words") * 100 > F.col(f"{p}n_words") * 50)
     kept = ~failed & compiled(rules, measures)
     if keep_columns:
-        return second.select(*docs.columns, kept.alias("rule_kept"))
+        return second.select(*docs.columns, kept.alias(f"{p}kept"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return second.select("doc_id", *(F.col(f"rule_{x}").alias(x) for x in names), failed.alias("base_failed"), kept.alias("kept"))
+    return second.select("doc_id", *(F.col(f"{p}{x}").alias(x) for x in names), failed.alias("base_failed"), kept.alias("kept"))
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import crc_of, sampled, sliced, texts_of
+from lattica.llm.common import crc_of, free_prefix, sampled, sliced, texts_of
 
 SHORTEST, LONGEST, BITS, DIM = 3, 6, 18, 8
 BUCKETS = 1 << BITS
@@ -218,13 +218,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 3000, most_to
     Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic rows, with
     texts of up to most_chars; scoring has no bound. Every row gives one row: a null or empty text gets the score of no
     evidence; a null id is scored, with held_out null; repeated rows stay. Other columns aren't read; keep_columns: all
-    columns of docs stay, with tox_score and tox_predicted. With no labels, or of one class only, every text gets the
+    columns of docs stay, with tox_score and tox_predicted as the last ones. With no labels, or of one class only, every text gets the
     smoothed share of toxic labels.
     """
     texts, y = training_rows(docs if training is None else training, labels, "toxic", 5, 0, (most_clean, most_toxic), most_chars)
     per_bucket, bias = fitted(texts, y)
     if keep_columns:
-        rows, text, first, last = docs, "text", [], ("tox_score", "tox_predicted")
+        p = free_prefix(docs.columns, "tox_")
+        rows, text, first, last = docs, "text", [], (f"{p}score", f"{p}predicted")
     else:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_of("doc_id") % 5 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
         text, first, last = "text", ["doc_id", "held_out"], ("score", "predicted")

@@ -88,6 +88,8 @@ def test_kept_columns_with_clashing_names(spark):
     docs = frame(spark, [(1, "a"), (None, None)]).withColumnRenamed("n", "predicted")
     got = toxicity(docs, labels, keep_columns=True)
     assert got.columns == [*docs.columns, "tox_score", "tox_predicted"] and got.count() == 2
+    again = toxicity(got, labels, keep_columns=True)
+    assert again.columns == [*got.columns, "tox__score", "tox__predicted"] and again.count() == 2
 
 
 def test_quality_by_held_out_rows(spark, odd_rows):

@@ -41,6 +41,7 @@ def test_rules(spark, odd_rows):
     assert quality_rules(frame(spark, [])).collect() == []
     stay = quality_rules(frame(spark, rows), keep_columns=True)
     assert stay.columns[-1] == "rule_kept" and stay.columns[:-1] == frame(spark, []).columns
+    assert quality_rules(stay, keep_columns=True).where("rule_kept <> rule__kept").count() == 0
 
 
 @pytest.mark.parametrize("each", [1, 3, 1000])

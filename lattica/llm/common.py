@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: tables in the shared folder, word rules, sampling."""
+"""What the operators of this subpackage share: word rules, batches, sampling, and the library's shared tables."""
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.tables import shared_dir, written
+
+__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "free_prefix", "let", "null_as", "read", "sampled", "shared_dir", "sliced", "texts_of", "written"]
+
 #: The characters that separate words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -20,32 +22,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jsc.get() if jsc.isDefined() else None
-    if not found:
-        found = "/tmp/checkpoints/lattica"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
-
-    The table goes when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    df.write.mode("overwrite").parquet(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_of(column: str | Column) -> Column:
     """crc32 of the decimal text of a column."""
     column = F.col(column) if isinstance(column, str) else column
@@ -102,6 +78,3 @@ def free_prefix(columns: list[str], prefix: str) -> str:
 def ascii_lower(text: str) -> bytes:
     """UTF-8 with A-Z as a-z; other letters stay."""
     return text.encode("utf-8", "replace").lower()
-
-
-SPACES = re.compile(WORD_GAP)

@@ -32,7 +32,7 @@ REGISTERS, BASE, RATE, TOP = 192, 1.001, 20.0, 65534
 MOST_LOST = 1e-6
 #: Pairs whose estimate is so many standard errors below the threshold aren't verified.
 MARGIN = 5.5
-BLOCK = 256
+BLOCK = 512
 MOST_BROADCAST = 2_000_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -91,27 +91,49 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
-def estimates(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Most likely similarities, by how many registers of a are above, and below, those of b, and both sets' sizes."""
-    u = n_a / (n_a + n_b)
-    v = 1 - u
-    most = np.minimum(u / v, v / u)
+def _likelihood(j: np.ndarray | float, u: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
+    """Log-likelihood of a similarity: `more` registers of a are above, `less` below those of b; u: a's share of both sizes."""
     share = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    low, high = np.zeros_like(most), most.copy()
-    equal = REGISTERS - more - less
+    up, down = share(u - (1 - u) * j), share((1 - u) - u * j)
+    return more * np.log(up) + less * np.log(down) + (REGISTERS - more - less) * np.log(np.maximum(1 - up - down, 1e-12))
 
-    def likely(j: np.ndarray) -> np.ndarray:
-        up, down = share(u - v * j), share(v - u * j)
-        return more * np.log(up) + less * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
 
+def estimates(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Most likely similarities, by how many registers of a are above, and below, those of b, and both sets' sizes."""
+    u = n_a / (n_a + n_b)
+    low, high = np.zeros_like(u), np.minimum(u / (1 - u), (1 - u) / u)
     for _ in range(40):  # the likelihood has one peak
         third = (high - low) / 3
         left, right = low + third, high - third
-        up = likely(left) < likely(right)
+        up = _likelihood(left, u, more, less) < _likelihood(right, u, more, less)
         low, high = np.where(up, left, low), np.where(up, high, right)
     return (low + high) / 2
 
 
+def shared_sizes(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Exact sizes of the intersections of pairs of sorted sets, given as two rows of places in sets.
+
+    Shingles that only one set has can't count, so the others make a small 0-1 matrix whose product has all sizes; where
+    it would be large, pairs are merged one by one.
+    """
+    every = np.concatenate(sets)
+    values, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    width = int(rank[-1]) + 1
+    if width * len(sets) > 1 << 24:
+        out = np.empty(pairs.shape[1], np.int64)
+        for k, (i, j) in enumerate(pairs.T):
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort()
+            out[k] = (both[1:] == both[:-1]).sum()
+        return out
+    held = np.zeros((len(sets), width), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = count[inverse] > 1
+    held[owner[common], rank[inverse[common]]] = 1
+    return np.rint((held @ held.T)[pairs[0], pairs[1]]).astype(np.int64)
+
+
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, digest, sketch of every row."""
 
@@ -144,6 +166,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
+def _needed_sets(ids: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
+    """The full sets of some nodes, as a table; only the nodes' texts are read into sets."""
+    ids = written(ids.distinct(), f"{name}-ids")
+    few = ids.count() <= MOST_BROADCAST
+    return written(_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size), f"{name}-sets")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that could be similar enough by sizes and registers."""
 
@@ -161,18 +190,20 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
 
 
 def could_be(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the similarity of rows of x and y may reach the threshold."""
-    est = estimates((x > y).sum(1), (x < y).sum(1), n_a, n_b)
-    error = np.sqrt(similarity * (1 - similarity) / REGISTERS)
-    return est >= similarity - MARGIN * error
+    """Whether the likelihood of rows of x and y has its peak no more than MARGIN standard errors below the threshold.
+
+    It has one peak, so it is there or above where the likelihood still rises.
+    """
+    low = similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS)
+    u = n_a / (n_a + n_b)
+    more, less = np.count_nonzero(x > y, axis=1), np.count_nonzero(x < y, axis=1)
+    return (np.minimum(u, 1 - u) / np.maximum(u, 1 - u) > low) & (_likelihood(low + 1e-4, u, more, less) >= _likelihood(low - 1e-4, u, more, less))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, as a table."""
     pairs = written(pairs, f"{name}-pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    few = ids.count() <= MOST_BROADCAST
-    sets = written(_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size), f"{name}-sets")
+    sets = _needed_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, size, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,44 +242,67 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct()
 
 
-def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that share a key but no component, and could be similar enough; without the pairs with a bucket's least node."""
+def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between nodes that share a key but no component, without those with a bucket's least node, as a table.
+
+    Pairs are held against each other within blocks of a bounded size, by likelihood and then by full sets; of the links
+    of a block only those that join further components leave it.
+    """
+    similarity = percent / 100
     rows = shared.where("node <> pivot").join(members, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     rows = written(rows, "residual")
     many = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("node").alias("k")).where("x < y").select("key", "k")
-    many = written(many, "mixed")
-    rows = rows.join(many, "key").join(classes.select("node", "n", "sketch"), "node")
+    rows = written(rows.join(written(many, "mixed"), "key"), "mixed-rows")
+    sets = _needed_sets(rows.select(F.col("node").alias("doc_id")), docs, size, "rest")
+    rows = rows.join(classes.select("node", "n", "sketch"), "node").join(sets, "node")
     # A bucket is cut in blocks by a hash; each pair of blocks is a group.
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-
+    rows = rows.select("key", "node", "component", "n", "sketch", "words", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     least = REGISTERS * (similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS))
 
     def run(table: pa.Table) -> pa.Table:
-        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found: list[tuple[int, int]] = []
         node, component, block, n = (table[c].to_numpy() for c in ("node", "component", "block", "n"))
         if len(node) > 1 and (component != component[0]).any():
             sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-            order = np.argsort(node, kind="stable")
-            node, component, block, n, sketch = node[order], component[order], block[order], n[order].astype(np.float64), sketch[order]
             one = table["i"][0].as_py() == table["j"][0].as_py()
+            near_a, near_b = [], []
             for k in range(len(node) - 1):
                 rest = slice(k + 1, None)
                 # Registers are equal with at least the chance of the similarity, so few equal ones rule a pair out.
                 near = np.count_nonzero(sketch[rest] == sketch[k], axis=1) >= least
-                near &= (component[rest] != component[k]) & (node[rest] > node[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1)
+                near &= (component[rest] != component[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1)
                 if not one:
                     near &= block[rest] != block[k]
                 at = k + 1 + np.flatnonzero(near)
                 if len(at):
-                    at = at[could_be(sketch[at], np.broadcast_to(sketch[k], (len(at), REGISTERS)), n[at], np.full(len(at), n[k]), similarity)]
-                    found_a.append(np.full(len(at), node[k]))
-                    found_b.append(node[at])
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+                    near_a.append(np.full(len(at), k))
+                    near_b.append(at)
+            if near_a:
+                pairs = np.stack([np.concatenate(near_a), np.concatenate(near_b)])
+                size_a, size_b = n[pairs[0]].astype(np.float64), n[pairs[1]].astype(np.float64)
+                likely = np.concatenate([could_be(sketch[pairs[0, k : k + 4096]], sketch[pairs[1, k : k + 4096]], size_a[k : k + 4096], size_b[k : k + 4096], similarity) for k in range(0, pairs.shape[1], 4096)])
+                pairs = pairs[:, likely]
+            if near_a and pairs.shape[1]:
+                common = shared_sizes([np.frombuffer(w.as_buffer(), np.uint64) for w in table["words"]], pairs)
+                linked = pairs[:, 100 * common >= percent * (n[pairs[0]] + n[pairs[1]] - common)]
+                parent: dict[int, int] = {}
+
+                def root(c: int) -> int:
+                    while c in parent:
+                        c = parent[c]
+                    return c
+
+                for x, y in linked.T.tolist():
+                    p, q = root(int(component[x])), root(int(component[y]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((int(node[x]), int(node[y])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return written(rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "rest-links")
 
 
 def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -272,7 +326,7 @@ def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     links = _verified(_likely(stars, sketches, similarity), docs, size, percent, "star")
     members = written(components(links), "members")
-    more = _verified(_across(shared, members, sketches, similarity), docs, size, percent, "rest")
+    more = _across(shared, members, sketches, docs, size, percent)
     # A class whose least id is another class's too, or copies with several ids, hang together by their ids.
     own = all_rows.where("n > 0").join(classes.where("copies > 1").select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     own = own.join(classes.select(F.col("node").alias("a")), "a", "left_semi")

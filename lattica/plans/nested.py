@@ -109,3 +109,9 @@ def set_algebra(t):
 SELECT a.j AS i, b.j AS j, corr(a.v, b.v) AS r FROM f a JOIN f b USING (vec_id) WHERE a.j < 8 AND b.j < 8 GROUP BY 1, 2""")
 def corr_matrix(t):
     return correlations(t("embeddings").df, "embedding", 8)
+
+
+@_r.add("""WITH f AS (SELECT vec_id, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT a.j AS i, b.j AS j, corr(a.v, b.v) AS r FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2""")
+def corr_matrix_whole(t):
+    return correlations(t("embeddings").df, "embedding")

@@ -170,3 +170,27 @@ def test_unique_and_sort(spark):
     assert _rows(d.Unique("f0")) == [(1, "b"), (2, "a")]
     assert [r["f1"] for r in d.Sort("f0")[0:3].ToPython()] == ["b", "a", "c"]
     assert [r["f1"] for r in d.Sort("f0", descend=True)[0:2].ToPython()] == ["c", "a"]
+
+
+def test_correlations_take_all_places(spark):
+    import numpy as np
+
+    from lattica.operators.correlation import correlations
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 20)) + 1e6
+    x[:, 7] += 0.5 * x[:, 3]
+    x[:, 9] = 4.1
+    rows = [[float(v) for v in r] for r in x]
+    rows[5][4] = None
+    rows[6] = rows[6][:15]
+    rows[7] = None
+    has = np.array([[r is not None and k < len(r) and r[k] is not None for k in range(20)] for r in rows])
+    df = spark.createDataFrame([(r,) for r in rows], "v array<double>").repartition(3)
+    got = {(r.i, r.j): r.r for r in correlations(df, "v").collect()}
+    assert set(got) == {(i, j) for i in range(20) for j in range(20)}
+    for (i, j), r in got.items():
+        both = has[:, i] & has[:, j]
+        assert r is None if 9 in (i, j) else abs(r - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    assert {(r.i, r.j): r.r for r in correlations(df, "v", 8).collect()}.keys() == {(i, j) for i in range(8) for j in range(8)}
+    assert correlations(spark.createDataFrame([], "v array<float>"), "v").collect() == []

@@ -4,8 +4,8 @@
    registers the least of exponentially distributed hashes over the set, as the number of its power of BASE, cut off
    at 0 and TOP. Registers of a union are the maxima, and two registers are equal with about the chance of the sets'
    Jaccard similarity.
-2. Texts with equal sets form a class; one member stands for it from here on.
-3. Bands of registers are keys. Each member of a key's bucket is held against the bucket's least id: first by the
+2. Texts with equal sets form a class, which is a node from here on, with a number of its own.
+3. Bands of registers are keys. Each member of a key's bucket is held against the bucket's least node: first by the
    likelihood of both register vectors, then, where the similarity could be high enough, by the full sets.
 4. The links found give components, by large-star and small-star rounds over tables.
 5. In buckets that still hold several components every pair across components is held against each other, in blocks of
@@ -155,22 +155,26 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """node and its full set, for rows doc_id, text; of rows with one id the sets together."""
+    """digest and full set of every row doc_id, text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches, "text", 1 << 20):
-            sets = [shingles(t, size, known).tobytes() for t in texts_of(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "words"])
+            sets = [w for w in (shingles(t, size, known).tobytes() for t in texts_of(batch.column("text"))) if w]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["digest", "words"])
 
-    return docs.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "digest binary, words binary")
 
 
-def _needed_sets(ids: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
-    """The full sets of some nodes, as a table; only the nodes' texts are read into sets."""
-    ids = written(ids.distinct(), f"{name}-ids")
-    few = ids.count() <= MOST_BROADCAST
-    return written(_sets(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size), f"{name}-sets")
+def _needed_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
+    """The full sets of some nodes, as a table; only texts with the least ids of the nodes' classes are read into sets.
+
+    An id may have several texts, so a set goes to its node by the digest.
+    """
+    ids = written(classes.select("node", "digest", "least").join(nodes.distinct(), "node", "left_semi"), f"{name}-ids")
+    near = F.broadcast if ids.count() <= MOST_BROADCAST else lambda x: x
+    sets = _sets(docs.join(near(ids.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi"), size)
+    return written(sets.join(near(ids.select("digest", "node")), "digest").select("node", "words").dropDuplicates(["node"]), f"{name}-sets")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -200,10 +204,10 @@ def could_be(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sim
     return (np.minimum(u, 1 - u) / np.maximum(u, 1 - u) > low) & (_likelihood(low + 1e-4, u, more, less) >= _likelihood(low - 1e-4, u, more, less))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, as a table."""
     pairs = written(pairs, f"{name}-pairs")
-    sets = _needed_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, size, name)
+    sets = _needed_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs, size, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +257,7 @@ def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
     rows = written(rows, "residual")
     many = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("node").alias("k")).where("x < y").select("key", "k")
     rows = written(rows.join(written(many, "mixed"), "key"), "mixed-rows")
-    sets = _needed_sets(rows.select(F.col("node").alias("doc_id")), docs, size, "rest")
+    sets = _needed_sets(rows.select("node"), classes, docs, size, "rest")
     rows = rows.join(classes.select("node", "n", "sketch"), "node").join(sets, "node")
     # A bucket is cut in blocks by a hash; each pair of blocks is a group.
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -308,7 +312,8 @@ def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
 def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row: see the module. Links need 100 * intersection >= percent * union.
 
-    A null or text without words has an empty set and is linked with nothing. Rows that share a doc_id are one node.
+    A null or text without words has an empty set and is linked with nothing. Rows that share a doc_id and have words
+    are linked, whatever their texts; each of the texts has its own links to others.
     A null doc_id is linked with nothing; its component_id is null and it isn't kept. Repeated rows each give a row.
     An empty table gives no rows. Extra columns are not read.
     """
@@ -316,22 +321,25 @@ def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = written(_sketched(docs, size), "sketches")
     full = all_rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("n").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("n").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = rows_in_band(similarity)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sketch", 1 + 2 * rows * k, 2 * rows)) for k in range(REGISTERS // rows)))
     banded = classes.select("node", F.explode(keys).alias("key"))
     pivots = written(banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
     shared = written(banded.join(pivots, "key"), "shared")
-    sketches = classes.select("node", "n", "sketch").dropDuplicates(["node"])
     stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = _verified(_likely(stars, sketches, similarity), docs, size, percent, "star")
+    links = _verified(_likely(stars, classes, similarity), classes, docs, size, percent, "star")
     members = written(components(links), "members")
-    more = _across(shared, members, sketches, docs, size, percent)
-    # A class whose least id is another class's too, or copies with several ids, hang together by their ids.
-    own = all_rows.where("n > 0").join(classes.where("copies > 1").select("digest", "node"), "digest").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    own = own.join(classes.select(F.col("node").alias("a")), "a", "left_semi")
+    more = _across(shared, members, classes, docs, size, percent)
+    # Classes that have an id in common hang together by it.
+    several = written(full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"), "several")
+    texts = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "texts")
+    own = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
     final = written(components(links.union(more).union(own)), "final")
-    changed = written(classes.join(final, "node", "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "node").alias("component")), "changed")
+    named = written(classes.select("node", "least").join(final, "node").groupBy("component").agg(F.min("least").alias("id")), "named")
+    final = final.join(named, "component").select("node", "id")
+    changed = written(classes.select("node", "digest", "copies", "least").join(final, "node", "left").where("copies > 1 OR id IS NOT NULL").select("digest", F.coalesce("id", "least").alias("component")), "changed")
     out = all_rows.select("doc_id", "n", "digest").join(changed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -76,6 +76,18 @@ def test_odd_rows(spark, odd_rows):
     assert {r.component_id for r in M.near_dups(frame(spark, twice), 3, 85).collect()} == {1}
 
 
+def test_ids_with_two_texts(spark):
+    rng = random.Random(8)
+    rows, near = [], lambda t: " ".join(["changed", *t.split()[1:]])
+    for k in range(40):
+        one, two = words(rng, 80, 5000), words(rng, 80, 5000)
+        rows += [(10 * k, one), (10 * k, two), (10 * k + 1, near(one)), (10 * k + 2, near(two))]
+    rows += [(500, rows[5][1]), (405, rows[3][1]), (405, words(rng, 80, 5000))]
+    want = brute(rows, 3, 85)
+    for order in (rows, rows[::-1]):
+        assert sorted(map(tuple, M.near_dups(frame(spark, order), 3, 85).collect()), key=repr) == want
+
+
 def test_registers_merge_and_estimates():
     rng = np.random.default_rng(2)
     a, b, shared = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (300, 500, 4000))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import read, written
+from lattica.llm.common import free_prefix, read, written
 from lattica.llm.near_dups import MOST_BROADCAST, near_dups
 from lattica.llm.packing import packed
 from lattica.llm.quality_rules import quality_rules
@@ -26,10 +26,26 @@ def without_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group of operator 4, five words a shingle and a similarity of 0.8; the least id stays."""
-    gone = written(near_dups(docs, size=5, percent=80).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "gone")
-    few = gone.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group of operator 4, five words a shingle and a similarity of 0.8; the least id stays.
+
+    Rows are grouped by their texts, whatever their ids: repeated rows are copies of each other, two texts under one id
+    aren't. Of a group that has rows without an id, one of those stays besides the least id. Texts without words are
+    copies only under the same id and with the same text.
+    """
+    row = free_prefix(docs.columns, "row_")
+    docs_by_row = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = written(near_dups(docs_by_row.select(F.col(row).alias("doc_id"), "text"), size=5, percent=80), "found")
+    loose = found.where("n_shingles > 0 AND NOT kept").select("doc_id", "component_id")
+    grouped = loose.union(loose.select("component_id", "component_id")).distinct()
+    grouped = written(grouped.union(found.where("n_shingles = 0").select("doc_id", F.lit(None).cast("long"))).toDF(row, "group"), "grouped")
+    few = F.broadcast if grouped.count() <= MOST_BROADCAST else lambda x: x
+    members = docs_by_row.select(row, "doc_id", "text").join(few(grouped), row)
+    wordless = F.col("group").isNull()
+    members = written(members.select(row, "doc_id", "group", F.col("doc_id").isNull().alias("no_id"), F.when(wordless, F.col("doc_id")).alias("of"), F.when(wordless, F.col("text")).alias("only")), "grouped-rows")
+    stay = members.groupBy("group", "no_id", "of", "only").agg(F.min(F.struct("doc_id", row))[row].alias(row))
+    gone = written(members.select(row).join(stay.select(row), row, "left_anti"), "gone")
+    few = F.broadcast if gone.count() <= MOST_BROADCAST else lambda x: x
+    return docs_by_row.join(few(gone), row, "left_anti").select(*docs.columns)
 
 
 def into_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,16 @@ def test_stages(spark, folder):
     assert texts
 
 
+def test_one_row_of_each_group_stays(spark):
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(4)]
+    near = "changed " + texts[0].split(" ", 1)[1]
+    rows = [(9, texts[0]), (5, near), (5, near), (5, texts[1]), (7, texts[1]), (7, texts[1]), (None, texts[0]), (None, near), (None, texts[2]), (None, texts[2]), (3, ""), (3, ""), (4, ""), (6, texts[3])]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.without_copies(spark, frame(spark, rows), "").collect()), key=repr)
+    unnamed = [t for i, t in got if i is None]
+    assert sorted(((i, t) for i, t in got if i is not None), key=repr) == sorted([(5, near), (5, texts[1]), (3, ""), (4, ""), (6, texts[3])], key=repr)
+    assert len(unnamed) == 2 and texts[2] in unnamed
+
+
 def test_run(spark, folder):
     from tokenizers import Tokenizer
 

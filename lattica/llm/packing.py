@@ -9,7 +9,8 @@ The tiers are powers of two up to the longest window. Each task packs the docume
   windows are full. What no window of its own tier needs moves on to shorter tiers.
 * The last rests of a task are cut to powers of two, so nothing is padded.
 
-Windows of a tier form step groups of equal token counts. Nothing is shuffled: documents stay in their tasks.
+Windows of a tier form step groups of equal token counts. What a task's tiers have left over at its end fills groups
+across tiers, so of a task one group at most has fewer tokens. Nothing is shuffled: documents stay in their tasks.
 """
 
 from __future__ import annotations
@@ -39,18 +40,31 @@ class Packer:
         self.pool: list[Piece] = []
         self.pooled = 0
         self.base, self.made = task << 36, 0
-        self.in_tier: dict[int, int] = {}
+        self.waiting: dict[int, list[list[tuple]]] = {}
+        self.groups = 0
 
     def _window(self, pieces: list[Piece]) -> Iterator[tuple]:
         length = sum(len(p[2]) for p in pieces)
         tier = 1 << max(length - 1, 0).bit_length()
         sequence, at = self.base | self.made, 0
         self.made += 1
-        k = self.in_tier[tier] = self.in_tier.get(tier, -1) + 1
-        group = self.base | k // max(self.step_tokens // tier, 1) << 12 | tier
+        rows = []
         for doc, start, ids, total in pieces:
-            yield doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, at, tier, group
+            rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, sequence, at, tier))
             at += len(ids)
+        waiting = self.waiting.setdefault(tier, [])
+        waiting.append(rows)
+        if len(waiting) * tier >= self.step_tokens:
+            yield from self._group(waiting)
+            waiting.clear()
+
+    def _group(self, windows: list[list[tuple]]) -> Iterator[tuple]:
+        """The rows of these windows as one step group."""
+        group = self.base | self.groups
+        self.groups += 1
+        for rows in windows:
+            for row in rows:
+                yield *row, group
 
     def add(self, doc: int | None, ids: np.ndarray) -> Iterator[tuple]:
         """Take a document's ids (little-endian unsigned 32 bit)."""
@@ -66,6 +80,18 @@ class Packer:
 
     def close(self) -> Iterator[tuple]:
         yield from self._pack(last=True)
+        # Powers of two from the longest on fill groups exactly; only the last one may hold fewer tokens.
+        windows, tokens = [], 0
+        for tier in sorted(self.waiting, reverse=True):
+            for rows in self.waiting[tier]:
+                windows.append(rows)
+                tokens += tier
+                if tokens >= self.step_tokens:
+                    yield from self._group(windows)
+                    windows, tokens = [], 0
+        self.waiting.clear()
+        if windows:
+            yield from self._group(windows)
 
     def _pack(self, last: bool) -> Iterator[tuple]:
         self.pool.sort(key=lambda p: len(p[2]))

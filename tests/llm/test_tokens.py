@@ -122,6 +122,18 @@ def test_packer(pool):
     assert {r[7] for r in rows} >= {2048, 1024, 512, 256}
 
 
+def test_step_groups_hold_equal_tokens():
+    rng = np.random.default_rng(1)
+    packer = Packer(3, step_tokens=8192)
+    rows = [r for k in range(400) for r in packer.add(k, rng.integers(0, 50_000, max(1, int(rng.lognormal(5, 1.4)))).astype("<u4"))] + list(packer.close())
+    tokens, of = defaultdict(int), {}
+    for r in rows:
+        tokens[r[8]] += r[2]
+        assert of.setdefault(r[5], r[8]) == r[8]
+    partial = [n for n in tokens.values() if n != 8192]
+    assert len(tokens) > 5 and len(partial) <= 1 and all(n < 8192 for n in partial)
+
+
 def test_packed_odd_rows(spark, odd_rows):
     from tokenizers import Tokenizer
 

@@ -2,7 +2,7 @@
 
 A text is its sequence of word shingles. Templates fall into tiers by their number of shingles; a tier's windows hold
 twice as many and overlap by half, so some window holds any whole notice. A window has one MinHash value a band (the
-least shingle hash after a bit mask of the band); it retrieves a template with an equal value in any band. The number
+least of its shingles' hashes, hashed again with the band's seed); it retrieves a template with an equal value in any band. The number
 of bands follows from the least similarity that a window around a match can have, so that a match is missed with at
 most the chance MOST_MISSED. Retrieved windows are verified by exact containment of the template's shingles.
 """
@@ -10,7 +10,9 @@ most the chance MOST_MISSED. Retrieved windows are verified by exact containment
 from __future__ import annotations
 
 import math
+import struct
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ class Tier:
             least = min(least, shared / (self.window + t - shared))
         self.least = least
         bands = 1 if least >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - least))
-        self.masks = [_mask(k) for k in range(bands)]
+        self.bands = range(bands)
         #: The template shingles whose hashes are a band's value: only a window that holds one of them can be retrieved.
-        self.values = {min(t, key=lambda h, mask=mask: h ^ mask) for t in templates.values() for mask in self.masks}
+        self.values = {min(t, key=lambda h, band=band: banded(h, band)) for t in templates.values() for band in self.bands}
 
     def windows(self, hashes: Column) -> Column:
         """Numbers of the windows."""
@@ -66,10 +68,9 @@ class Tier:
         any_band = F.lit(False)
         if self.window == 1:  # a window is a shingle, and its value is itself
             return F.coalesce(F.arrays_overlap(hashes, F.array(*(F.lit(t[0]) for t in self.templates.values()))), F.lit(False))
-        for mask in self.masks:
-            values = F.array(*(F.lit(min(h ^ mask for h in t)) for t in self.templates.values()))
-            masked = F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask)))
-            found = let(masked, lambda m: F.transform(self.windows(m), lambda k: F.array_min(self.held(m, k))))
+        for band in self.bands:
+            values = F.array(*(F.lit(min(banded(h, band) for h in t)) for t in self.templates.values()))
+            found = let(_banded(hashes, band), lambda m: F.transform(self.windows(m), lambda k: F.array_min(self.held(m, k))))
             any_band = any_band | F.arrays_overlap(found, values)
         return F.coalesce(any_band, F.lit(False))
 
@@ -81,8 +82,8 @@ class Tier:
 
             def hit(w: Column, shingles: list[int] = shingles) -> Column:
                 found = F.lit(False)
-                for mask in self.masks:
-                    found = found | (F.array_min(F.transform(w, lambda h: h.bitwiseXOR(F.lit(mask)))) == min(h ^ mask for h in shingles))
+                for band in self.bands:
+                    found = found | (F.array_min(_banded(w, band)) == min(banded(h, band) for h in shingles))
                 return F.coalesce(found, F.lit(False))
 
             scored = F.transform(
@@ -93,13 +94,16 @@ class Tier:
         return out
 
 
-def _mask(k: int) -> int:
-    """A band's bit mask: a signed 64-bit number from a multiplicative sequence."""
-    x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64)
+def banded(h: int, band: int) -> int:
+    """A shingle hash hashed with a band's number, as Spark's xxhash64(band, h) does it: signed, 64 bits."""
+    x = xxhash.xxh64_intdigest(struct.pack("<q", h), xxhash.xxh64_intdigest(struct.pack("<q", band), 42))
     return x - (1 << 64) if x >> 63 else x
 
 
+def _banded(hashes: Column, band: int) -> Column:
+    return F.transform(hashes, lambda h: F.xxhash64(F.lit(band).cast("long"), h))
+
+
 def tiers(spark: SparkSession, templates: dict[str, str], size: int, contained: float) -> list[Tier]:
     """The templates by their numbers of distinct shingles: 1, up to 4, up to 8, up to 16 and so on."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")

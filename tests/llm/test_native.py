@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 from lattica.llm import fingerprints as prints
-from lattica.llm.licenses import TEMPLATES, licenses
+from lattica.llm.licenses import TEMPLATES, Tier, banded, licenses
 from lattica.llm.preferences import preferences
 from lattica.llm.quality_rules import quality_rules
 from tests.llm.conftest import frame, words
@@ -138,3 +138,17 @@ def test_licenses(spark, odd_rows):
     got = sorted(((r.doc_id, r.license, round(r.containment, 6), r.place) for r in native(licenses(frame(spark, rows)))), key=repr)
     assert got == license_brute(rows) and len(got) > 20
     assert licenses(frame(spark, [])).collect() == [] and licenses(frame(spark, rows), {}).collect() == []
+
+
+def test_license_bands_hash_anew(spark):
+    some = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
+    df = spark.createDataFrame([(h,) for h in some], "h long")
+    for band in (0, 1, 29):
+        assert [r[0] for r in df.selectExpr(f"xxhash64({band}L, h)").collect()] == [banded(h, band) for h in some]
+    bands = Tier(4, {"x": [1, 2, 3]}, 0.8).bands
+    rng, missed = random.Random(5), 0
+    for _ in range(20_000):
+        window = [rng.getrandbits(64) - 2**63 for _ in range(8)]
+        notice = window[:3]
+        missed += not any(min(window, key=lambda h: banded(h, b)) in notice for b in bands)
+    assert missed == 0

@@ -89,18 +89,27 @@ class Model:
             return self
         index: dict[str, int] = {}
         coded = [np.array(sorted({index.setdefault(w.strip(STRIP), len(index)) for w in words(t)}), np.int64) for t in texts]
-        bucket, owner = bags(list(index))
-        order = np.argsort(owner, kind="stable").astype(np.int32)
-        bucket, total = bucket[order], np.bincount(owner, minlength=len(index))
         in_texts = np.bincount(np.concatenate(coded), minlength=len(index))
+        # Words are coded in parts: what all their subwords need at once is a bucket each.
+        vocabulary, part, counts = list(index), 30_000, np.zeros(BUCKETS)
+        parts, totals = [], []
+        for k in range(0, len(vocabulary), part):
+            found, owner = _bags(vocabulary[k : k + part])
+            parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
+            totals.append(np.bincount(owner, minlength=len(vocabulary[k : k + part])))
+            counts += np.bincount(parts[-1], np.repeat(in_texts[k : k + part], totals[-1]), BUCKETS)
         # What hardly occurs could only be learned by heart: it has no vector. The rest is trained by itself.
-        active = np.flatnonzero(np.bincount(bucket, np.repeat(in_texts, total), BUCKETS) >= LEAST)
-        place = np.full(BUCKETS, -1, np.int64)
+        active = np.flatnonzero(counts >= LEAST)
+        place = np.full(BUCKETS, -1, np.int32)
         place[active] = np.arange(len(active))
-        has = place[bucket] >= 0
-        owner, bucket = owner[order][has], place[bucket[has]].astype(np.int32)
-        del order, has
-        size_of = np.bincount(owner, minlength=len(index))
+        sizes = []
+        for k, n in enumerate(totals):
+            found = place[parts[k]]
+            sizes.append(np.bincount(np.repeat(np.arange(len(n)), n)[found >= 0], minlength=len(n)))
+            parts[k] = found[found >= 0]
+        none = [np.zeros(0, np.int64)]
+        bucket, total, size_of = np.concatenate(parts or none), np.concatenate(totals or none), np.concatenate(sizes or none)
+        del parts, vocabulary
         weight = weights(size_of, total)
         first = np.cumsum(size_of) - size_of
         vectors = self.vectors[active]
@@ -212,7 +221,7 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
     return per_bucket, bias - float(cuts[np.flatnonzero(cost <= cost.min() + 1e-9)].mean())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 3000, most_toxic: int = 1500, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
     """Score every whole text of docs (doc_id, text); learn from labels (doc_id, toxic) and the texts in training (else docs).
 
     Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic rows, with

@@ -127,3 +127,10 @@ def test_net_gradients_and_slicing():
         assert abs((high - low) / 2e-2 - grad[at]) < 0.1 * abs(grad[at]) + 1e-3, k
     data = [b"x" * n for n in (0, 1, 255, 256, 257, 5000)]
     assert np.allclose(net.score(data), [net.score([d])[0] for d in data])
+
+
+def test_toxicity_fit_takes_4000_and_2000():
+    import inspect
+
+    defaults = inspect.signature(toxicity).parameters
+    assert (defaults["most_clean"].default, defaults["most_toxic"].default) == (4000, 2000)

@@ -47,6 +47,17 @@ def matrix_roundtrip(t):
     return _back(named.Get("vec_id", "cols", "matrix"), "tsv_matrix", kind="float").Get("vec_id", "matrix")
 
 
+@_r.add("SELECT CAST(vec_id AS VARCHAR) AS vec_id, embedding AS matrix FROM embeddings")
+def matrix_roundtrip_whole(t):
+    from pyspark.sql import functions as F
+
+    m = t("embeddings").Get("vec_id", matrix=_.embedding)
+    width = m.df.agg(F.max(F.size(m.slice("matrix").column))).first()[0] or 0
+    named = m.AddSlice("cols", [f"c{k}" for k in range(width)])
+    named = named._with(slices=[s if s.name != "cols" else type(s)("cols", s.column, m.slice("matrix").dims[1:]) for s in named.slices])
+    return _back(named.Get("vec_id", "cols", "matrix"), "tsv_matrix", kind="float").Get("vec_id", "matrix")
+
+
 @_r.add("""SELECT 'chr' || n_regionkey AS seqname, CAST(n_nationkey * 10 + 1 AS BIGINT) AS start, CAST(n_nationkey * 10 + 9 AS BIGINT) AS "end", n_name AS name FROM nation""")
 def gff_roundtrip(t):
     from pyspark.sql import functions as F

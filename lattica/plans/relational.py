@@ -96,6 +96,13 @@ def match_chain5(t):
     return out.Match(t("nation"), "c_nationkey", "n_nationkey").Match(t("region"), "n_regionkey", "r_regionkey").Get("r_name", "n_name", "c_custkey", "o_orderkey", "l_linenumber", "l_quantity")
 
 
+@_r.add("""SELECT r_name, n_name, c_custkey, o_orderkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def match_chain5_whole(t):
+    out = t("lineitem").Match(t("orders"), "l_orderkey", "o_orderkey").Match(t("customer"), "o_custkey", "c_custkey")
+    return out.Match(t("nation"), "c_nationkey", "n_nationkey").Match(t("region"), "n_regionkey", "r_regionkey").Get("r_name", "n_name", "c_custkey", "o_orderkey", "l_linenumber", "l_quantity")
+
+
 @_r.add("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey")
 def match_self(t):
     return t("nation").Get("n_name", "n_regionkey").Match(t("nation").Get("n_name", "n_regionkey").Rename("other", "n_regionkey"), "n_regionkey").Get(a=_.n_name, b=_.other)

@@ -18,7 +18,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """Tokens of every text, as the library for the tokenizer file counts them, with no added special tokens.
 
     Every row gives one row; null and empty texts have 0 bytes and 0 tokens; a null id stays null; repeated rows
-    stay; other columns are not read. One task holds at most about 1 MB of text at a time, or one text.
+    stay; an empty table gives no rows; other columns are not read. A text of exactly `limit` tokens isn't over it. One
+    task holds at most about 1 MB of text at a time, or one text, however long.
     """
     # fmt: off
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

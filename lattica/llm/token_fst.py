@@ -12,7 +12,9 @@ Two deterministic transducers stand for a byte-level BPE tokenizer:
   last token of the encoding before it, merges to just these two. States come up as texts need them and are kept,
   up to a bound, beyond which the table starts anew.
 
-All pre-tokens of a batch run in lockstep over numpy arrays.
+All pre-tokens of a batch run in lockstep over numpy arrays. One starts from the known first state, so a short one is a
+chunk by itself; a long one is cut in chunks, whose maps from the states that can precede them to end states and counts
+are composed by a prefix scan as well.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ N_STATES, N_CLASSES = 13, 12
 HERE, BEFORE = 1, 2
 #: Spreads keys over a table.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a chunk; longer pre-tokens are cut.
+LONG = 256
 
 
 def _splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +244,8 @@ class Merger:
                 pair = before << 32 | token
                 fit = self.fits.get(pair)
                 if fit is None:
+                    if len(self.fits) > self.most_states:
+                        self.fits.clear()
                     fit = self.fits[pair] = self._fit(before, token)
                 if fit:
                     found = token, count + 1
@@ -250,15 +256,28 @@ class Merger:
         return self._state(key), count
 
     def run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, lasts: np.ndarray | None = None) -> np.ndarray:
-        """Token counts of the pre-tokens at start with these lengths in data; lasts gets the last token at each byte."""
+        """Token counts of the pre-tokens at start with these lengths in data; lasts gets the last token at each byte.
+
+        A pre-token of more than LONG bytes is cut in chunks, whose state maps are composed (see _scanned).
+        """
         if len(self.states) > self.most_states:
             self._reset()
-        order = np.argsort(-np.minimum(length, 65535).astype(np.int32), kind="stable")
-        at, todo = start[order], length[order]
-        count, state = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        most, k = int(todo[0]) if len(todo) else 0, 0
-        alive = np.searchsorted(-todo, -np.arange(min(most, 4096)), side="left")
-        while k < min(most, 4096) and alive[k] > 8:
+        count = np.empty(len(start), np.int64)
+        long = length > LONG
+        short = np.flatnonzero(~long)
+        count[short] = self._lockstep(data, start[short], length[short], np.zeros(len(short), np.int32), lasts)[1]
+        if long.any():
+            count[long] = self._scanned(data, start[long], length[long], lasts)
+        return count
+
+    def _lockstep(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, lasts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """End states and counts of stretches of bytes from these states, all a byte on at a time."""
+        order = np.argsort(-length, kind="stable")
+        at, todo, state = start[order], length[order], state[order].astype(np.int32)
+        count = np.zeros(len(at), np.int64)
+        most = int(todo[0]) if len(todo) else 0
+        alive = np.searchsorted(-todo, -np.arange(most), side="left")
+        for k in range(most):
             n = alive[k]
             byte = data[at[:n] + k]
             here = (state[:n].astype(np.int64) << 8) | byte
@@ -271,26 +290,67 @@ class Merger:
             state[:n] = to = self.next[slot]
             if lasts is not None:
                 lasts[at[:n] + k] = self.last[to]
-            k += 1
-        for i in np.flatnonzero(todo > k):  # the few long ones, one after the other
-            s, c, a = int(state[i]), 0, int(at[i])
-            known: dict[int, tuple[int, int]] = {}
-            for j in range(k, int(todo[i])):
-                x = s << 8 | int(data[a + j])
-                if x not in known:
-                    one = np.array([x], np.int64)
-                    if self.key[self._slots(one)[0]] < 0:
-                        self._learn(one)
-                    slot = self._slots(one)[0]
-                    known[x] = int(self.next[slot]), int(self.delta[slot])
-                s, change = known[x]
-                c += change
-                if lasts is not None:
-                    lasts[a + j] = self.last[s]
-            count[i] += c
-        out = np.empty_like(count)
-        out[order] = count
-        return out
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], count[back]
+
+    def _scanned(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, lasts: np.ndarray | None) -> np.ndarray:
+        """Token counts of long pre-tokens by composing maps of chunks in a parallel prefix scan.
+
+        A chunk's map goes from the few states that can precede it to its end state and token count. The first such
+        state is guessed from the bytes before. A state that the scan then finds to come in and that a map lacks is added,
+        and those it leads to.
+        """
+        chunks = -(-length // LONG)
+        text = np.repeat(np.arange(len(start)), chunks)
+        first = np.cumsum(chunks) - chunks
+        number = np.arange(len(text)) - first[text]
+        at = start[text] + number * LONG
+        size = np.minimum(LONG, start[text] + length[text] - at)
+        before = np.minimum(number * LONG, LONG)
+        guess = self._lockstep(data, at - before, before, np.zeros(len(at), np.int32))[0]
+        guess[number == 0] = 0
+        into = guess[:, None]  # by chunk, the states that its map starts from
+        out, count = (x[:, None] for x in self._lockstep(data, at, size, guess))
+        while True:
+            # Each map as places in the next chunk's list of states; -1: not in the list.
+            width = into.shape[1]
+            following = np.concatenate([into[1:], into[:1]])
+            found = out[:, :, None] == following[:, None, :]
+            step_to = np.where(found.any(2), found.argmax(2), -1)
+            to, total = step_to.copy(), count.copy()
+            head = number == 0
+            step = 1
+            begun = head.copy()  # maps that already go back to their text's first chunk
+            while not begun.all():
+                open_ = np.flatnonzero(~begun)
+                left = open_ - step
+                mid = to[left]  # where the chunks up to the left one lead, as a place in the first chunk of this map
+                good = mid >= 0
+                place = np.where(good, mid, 0)
+                new_to = np.where(good, np.take_along_axis(to[open_], place, 1), -1)
+                new_total = total[left] + np.where(good, np.take_along_axis(total[open_], place, 1), 0)
+                done = begun[left]
+                to[open_], total[open_], begun[open_] = new_to, new_total, done
+                step *= 2
+            # The place in each chunk's list at which its text comes in, 0 for a first chunk.
+            came = np.where(head, 0, np.roll(to[:, 0], 1))
+            lost = (came < 0) & ~head & (np.where(number == 1, 0, np.roll(np.roll(to[:, 0], 1), 1)) >= 0)
+            if not (came < 0).any():
+                break
+            now = np.flatnonzero(lost)
+            state = out[now - 1, came[now - 1]]
+            into, out, count = (np.concatenate([x, np.full((len(text), 1), fill, x.dtype)], 1) for x, fill in ((into, -1), (out, -2), (count, 0)))
+            while len(now):  # on to where a map knows the state that comes in
+                into[now, width] = state
+                out[now, width], count[now, width] = self._lockstep(data, at[now], size[now], state)
+                onward = np.append(number, 0)[now + 1] > 0
+                now, state = now[onward] + 1, out[now[onward], width]
+                fresh = (into[now, width] < 0) & ~(into[now] == state[:, None]).any(1)
+                now, state = now[fresh], state[fresh]
+        if lasts is not None:
+            self._lockstep(data, at, size, into[np.arange(len(text)), came], lasts)
+        return total[first + chunks - 1, 0]
 
 
 def _byte_alphabet() -> dict[str, int]:

@@ -33,6 +33,20 @@ def test_counts_and_ids_equal_the_library():
     assert [i.tolist() for i in own.ids(texts)] == want
 
 
+@pytest.mark.parametrize("long", [16, 256])
+def test_chunk_maps_of_long_pre_tokens(monkeypatch, long):
+    from tokenizers import Tokenizer
+
+    from lattica.llm import token_fst
+
+    monkeypatch.setattr(token_fst, "LONG", long)
+    library, own, rng = Tokenizer.from_file(BPE), Transducer(BPE), random.Random(1)
+    texts = ["a" * n for n in (255, 256, 257, 511, 512, 513, 4097)] + ["".join(rng.choice(a) for _ in range(n)) for a in ("ab", "abcdefgh", "中文") for n in (300, 3000)] + ["-=" * 900 + " x", " " * 3000, "th" * 2000, "one " * 50 + "z" * 700]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.counts(texts).tolist() == [len(w) for w in want]
+    assert [i.tolist() for i in own.ids(texts)] == want
+
+
 def test_a_full_table_starts_anew():
     own = Transducer(BPE)
     texts = some_texts(300)

@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.tables import shared_dir, written
+from lattica.tables import shared_dir, spent, written
 
-__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "free_prefix", "let", "null_as", "read", "sampled", "shared_dir", "sliced", "texts_of", "written"]
+__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "free_prefix", "let", "null_as", "read", "sampled", "spread_join", "shared_dir", "sliced", "spent", "texts_of", "written"]
 
 #: The characters that separate words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -68,6 +68,23 @@ def sampled(df: DataFrame, keys: list[str], by: str, most: tuple[int, ...]) -> D
     return out
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, where a key has one row, so that no task gets all of a key's rows.
+
+    counts: key and k, the number of rows of left that it has; total: that of all keys. A key with more than a
+    partition's share is hot: its rows of left are dealt by a hash of all columns, and its row of right goes along to
+    each place. Fewer keys than partitions can be hot, so they are broadcast.
+    """
+    each = max(256, total // int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = counts.where(F.col("k") > each).select(key, F.ceil(F.col("k") / each).cast("int").alias("salts"))
+    if found.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(found)
+    dealt = left.join(hot, key, "left").withColumn("salts", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), "salts").cast("int")))
+    along = right.join(hot, key, "left").withColumn("salts", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    return dealt.join(along, [key, "salts"], how).drop("salts")
+
+
 def free_prefix(columns: list[str], prefix: str) -> str:
     """The prefix, longer by underscores while a column's name begins with it."""
     while any(c.lower().startswith(prefix) for c in columns):

@@ -8,15 +8,18 @@
 3. Bands of registers are keys. Each member of a key's bucket is held against the bucket's least node: first by the
    likelihood of both register vectors, then, where the similarity could be high enough, by the full sets.
 4. The links found give components, by large-star and small-star rounds over tables.
-5. In buckets that still hold several components every pair across components is held against each other, in blocks of
-   a bounded size, again by likelihood and then by full sets. So no link between texts that share a key is lost,
-   though the pairs of a bucket whose members hang together are never made.
+5. In buckets that still hold several components every pair across components is held against each other by registers,
+   in blocks of a bounded size; a pair that shares several keys only under the first. Nodes that this leaves with a
+   likely partner form small groups, bounded in bytes, which are verified by full sets. So no link between texts that
+   share a key is lost, though the pairs of a bucket whose members hang together are never made, and full sets travel
+   only where registers ask for them.
 
-Nothing but counts goes to the driver. Ids are broadcast only up to MOST_BROADCAST of them; more are joined by shuffle.
+Nothing but counts, and keys with more rows than a partition's share, goes to the driver. Ids are broadcast only up to MOST_BROADCAST of them; more are joined by shuffle.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, sliced, texts_of, written
+from lattica.llm.common import ascii_lower, sliced, spent, spread_join, texts_of, written
 
 REGISTERS, BASE, RATE, TOP = 192, 1.001, 20.0, 65534
 #: The chance to lose a pair exactly at the threshold is at most this.
 MOST_LOST = 1e-6
 #: Pairs whose estimate is so many standard errors below the threshold aren't verified.
 MARGIN = 5.5
-BLOCK = 512
-MOST_BROADCAST = 2_000_000
+#: Nodes of a block, bytes of full sets of a group to verify, and rows of a table that is broadcast, at most.
+BLOCK, CHUNK, MOST_BROADCAST = 2048, 1 << 20, 500_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -43,13 +46,13 @@ def rows_in_band(similarity: float) -> int:
 
 
 class Words(dict):
-    """64-bit hashes of words, kept up to a bound."""
+    """64-bit hashes of words; short ones are kept, up to a bound: about 30 MB."""
 
-    most = 200_000
+    most, longest = 200_000, 64
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= self.longest:
             self[word] = value
         return value
 
@@ -110,28 +113,29 @@ def estimates(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return (low + high) / 2
 
 
-def shared_sizes(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Exact sizes of the intersections of pairs of sorted sets, given as two rows of places in sets.
+def shared_sizes(sets: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Exact sizes of the intersections of the sets at `left` with all of them: some of the places and their rows of sizes at a time.
 
     Shingles that only one set has can't count, so the others make a small 0-1 matrix whose product has all sizes; where
-    it would be large, pairs are merged one by one.
+    it would be large, places of shingles are counted for one set after the other.
     """
     every = np.concatenate(sets)
     values, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1
-    width = int(rank[-1]) + 1
-    if width * len(sets) > 1 << 24:
-        out = np.empty(pairs.shape[1], np.int64)
-        for k, (i, j) in enumerate(pairs.T):
-            both = np.concatenate([sets[i], sets[j]])
-            both.sort()
-            out[k] = (both[1:] == both[:-1]).sum()
-        return out
-    held = np.zeros((len(sets), width), np.float32)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     common = count[inverse] > 1
-    held[owner[common], rank[inverse[common]]] = 1
-    return np.rint((held @ held.T)[pairs[0], pairs[1]]).astype(np.int64)
+    rank = np.cumsum(count > 1) - 1
+    width = int(rank[-1]) + 1
+    places, owner = rank[inverse[common]], owner[common]
+    if width * len(sets) <= 1 << 22:
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner, places] = 1
+        for k in range(0, len(left), 256):
+            yield left[k : k + 256], np.rint(held[left[k : k + 256]] @ held.T).astype(np.int64)
+        return
+    for x in left:
+        mine = np.zeros(width, bool)
+        mine[places[owner == x]] = True
+        yield np.array([x]), np.bincount(owner[mine[places]], minlength=len(sets))[None]
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
@@ -174,7 +178,9 @@ def _needed_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: in
     ids = written(classes.select("node", "digest", "least").join(nodes.distinct(), "node", "left_semi"), f"{name}-ids")
     near = F.broadcast if ids.count() <= MOST_BROADCAST else lambda x: x
     sets = _sets(docs.join(near(ids.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi"), size)
-    return written(sets.join(near(ids.select("digest", "node")), "digest").select("node", "words").dropDuplicates(["node"]), f"{name}-sets")
+    out = written(sets.join(near(ids.select("digest", "node")), "digest").select("node", "words").dropDuplicates(["node"]), f"{name}-sets")
+    spent(ids)
+    return out
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -190,7 +196,12 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
 
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     fit = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(fit).mapInArrow(run, "a long, b long")
+    return spread_join(pairs.join(side("a"), "a"), side("b"), "b", *_by_b(pairs)).where(fit).mapInArrow(run, "a long, b long")
+
+
+def _by_b(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """How many pairs each node b has, and all have."""
+    return pairs.groupBy("b").agg(F.count("a").alias("k")), pairs.count()
 
 
 def could_be(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
@@ -221,92 +232,142 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("words").alias(f"w{c}"))
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = written(spread_join(pairs.join(side("a"), "a"), side("b"), "b", *_by_b(pairs)).mapInArrow(run, "a long, b long"), f"{name}-links")
+    spent(pairs, sets)
+    return links
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a lesser one, which has none to a lesser one itself: then the lesser one is the component."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return ends.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node) of every node that an edge (a, b) has; by large-star and small-star rounds."""
-    state = lambda e: e.agg(F.count("a"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+    """node, component (the least node) of every node that an edge (a, b) has; by large-star and small-star rounds. A table."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    before = state(edges)
-    while before[0]:
+    while not _stars(edges):
         both = edges.union(edges.select("b", "a"))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        near = large.join(least, "a")
-        small = near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", "m")).distinct()
-        edges = written(small, "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("b").alias("k")), "least")
+        near = spread_join(both, least.drop("k"), "a", least, 2 * edges.count())
+        large = written(near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
+        spent(least, edges)
+        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("k")), "least")
+        near = spread_join(large, least.drop("k"), "a", least, large.count())
+        edges = written(near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct(), "edges")
+        spent(least, large)
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct()
+    out = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct(), "components")
+    spent(edges)
+    return out
 
 
-def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between nodes that share a key but no component, without those with a bucket's least node, as a table.
+def screened(table: pa.Table, similarity: float, band_rows: int) -> pa.Table:
+    """Of the nodes of two blocks of a bucket those with a likely partner in another component, in groups to verify.
 
-    Pairs are held against each other within blocks of a bounded size, by likelihood and then by full sets; of the links
-    of a block only those that join further components leave it.
+    A pair counts where its registers leave its similarity open and no earlier band has its key too. Nodes that pairs
+    connect are a group; one with more than CHUNK bytes of full sets is cut in parts, and each two parts are a group.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    node, component, block, n = (table[c].to_numpy() for c in ("node", "component", "block", "n"))
+    if len(node) and (component != component[0]).any():
+        key, band, low, high, inner = (table[c][0].as_py() for c in ("key", "band", "i", "j", "inner"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        least = REGISTERS * (similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS))
+        label = np.arange(len(node))
+        for k in np.flatnonzero(block == low):
+            # Registers are equal with at least the chance of the similarity, so few equal ones rule a pair out.
+            near = (component != component[k]) & (np.minimum(n, n[k]) >= similarity * np.maximum(n, n[k]) - 1)
+            near[: k + 1] &= block[: k + 1] != low
+            if not inner:
+                near &= block != low
+            at = np.flatnonzero(near)
+            same = sketch[at] == sketch[k]
+            good = same.sum(1) >= least
+            at, same = at[good], same[good]
+            if len(at):
+                first = same[:, : REGISTERS // band_rows * band_rows].reshape(len(at), -1, band_rows).all(2).argmax(1) == band
+                good = first & could_be(np.broadcast_to(sketch[k], (len(at), REGISTERS)), sketch[at], np.full(len(at), float(n[k])), n[at].astype(np.float64), similarity)
+                at = at[good]
+            if len(at):
+                joined = np.append(label[at], label[k])
+                label[np.isin(label, joined)] = joined.min()
+        names, size = np.unique(label, return_counts=True)
+        for name in names[size > 1]:
+            members = np.flatnonzero(label == name)
+            part = np.cumsum(n[members] * 8) // CHUNK
+            _, part = np.unique(part, return_inverse=True)
+            for u in range(int(part[-1]) + 1):
+                for v in range(u, int(part[-1]) + 1):
+                    sub = xxhash.xxh3_64_intdigest(struct.pack("<6q", key, low, high, name, u, v)) - (1 << 63)
+                    for m, p in zip(members.tolist(), part.tolist()):
+                        if p in (u, v):
+                            out.append((sub, int(node[m]), int(component[m]), int(p != u)))
+    return pa.table({c: pa.array(x, k) for (c, k), x in zip((("sub", pa.int64()), ("node", pa.int64()), ("component", pa.int64()), ("part", pa.int32())), zip(*out) if out else [[]] * 4)})
+
+
+def linked(table: pa.Table, percent: int) -> pa.Table:
+    """Links across components of a group of nodes with full sets, of two parts from one to the other; only those that join further components."""
+    found: list[tuple[int, int]] = []
+    node, component, part = (table[c].to_numpy() for c in ("node", "component", "part"))
+    if len(node) > 1:
+        sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in table["words"]]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        two = bool(part.any())
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for left, common in shared_sizes(sets, np.flatnonzero(part == 0)):
+            good = (100 * common >= percent * (n[left, None] + n - common)) & (component[left, None] != component)
+            if two:
+                good &= part == 1
+            for x, y in zip(*(z.tolist() for z in np.nonzero(good))):
+                p, q = root(int(component[left[x]])), root(int(component[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(node[left[x]]), int(node[y])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between nodes that share a key but no component, without those with a bucket's least node, as a table; None: there are none.
+
+    A bucket's largest component is dealt to blocks of its own, the rest to others; blocks of the rest meet all blocks,
+    so a bucket of k nodes, r of them outside its largest component, gives about k * r / BLOCK rows.
     """
     similarity = percent / 100
-    rows = shared.where("node <> pivot").join(members, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    rows = shared.where("node <> pivot").join(members, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     rows = written(rows, "residual")
-    many = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("node").alias("k")).where("x < y").select("key", "k")
-    rows = written(rows.join(written(many, "mixed"), "key"), "mixed-rows")
-    sets = _needed_sets(rows.select("node"), classes, docs, size, "rest")
-    rows = rows.join(classes.select("node", "n", "sketch"), "node").join(sets, "node")
-    # A bucket is cut in blocks by a hash; each pair of blocks is a group.
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "key"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", "node", "component", "n", "sketch", "words", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    least = REGISTERS * (similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS))
-
-    def run(table: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
-        node, component, block, n = (table[c].to_numpy() for c in ("node", "component", "block", "n"))
-        if len(node) > 1 and (component != component[0]).any():
-            sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS)
-            one = table["i"][0].as_py() == table["j"][0].as_py()
-            near_a, near_b = [], []
-            for k in range(len(node) - 1):
-                rest = slice(k + 1, None)
-                # Registers are equal with at least the chance of the similarity, so few equal ones rule a pair out.
-                near = np.count_nonzero(sketch[rest] == sketch[k], axis=1) >= least
-                near &= (component[rest] != component[k]) & (np.minimum(n[rest], n[k]) >= similarity * np.maximum(n[rest], n[k]) - 1)
-                if not one:
-                    near &= block[rest] != block[k]
-                at = k + 1 + np.flatnonzero(near)
-                if len(at):
-                    near_a.append(np.full(len(at), k))
-                    near_b.append(at)
-            if near_a:
-                pairs = np.stack([np.concatenate(near_a), np.concatenate(near_b)])
-                size_a, size_b = n[pairs[0]].astype(np.float64), n[pairs[1]].astype(np.float64)
-                likely = np.concatenate([could_be(sketch[pairs[0, k : k + 4096]], sketch[pairs[1, k : k + 4096]], size_a[k : k + 4096], size_b[k : k + 4096], similarity) for k in range(0, pairs.shape[1], 4096)])
-                pairs = pairs[:, likely]
-            if near_a and pairs.shape[1]:
-                common = shared_sizes([np.frombuffer(w.as_buffer(), np.uint64) for w in table["words"]], pairs)
-                linked = pairs[:, 100 * common >= percent * (n[pairs[0]] + n[pairs[1]] - common)]
-                parent: dict[int, int] = {}
-
-                def root(c: int) -> int:
-                    while c in parent:
-                        c = parent[c]
-                    return c
-
-                for x, y in linked.T.tolist():
-                    p, q = root(int(component[x])), root(int(component[y]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        found.append((int(node[x]), int(node[y])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return written(rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long"), "rest-links")
+    parts = rows.groupBy("key", "component").agg(F.count("node").alias("k"))
+    many = parts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("n_major"), F.sum("k").alias("k"), F.count("k").alias("parts"))
+    mixed = written(many.where("parts > 1").select("key", "major", "n_major", "k"), "mixed")
+    if mixed.isEmpty():
+        spent(rows, mixed)
+        return None
+    held = rows.join(F.broadcast(mixed), "key") if mixed.count() <= MOST_BROADCAST else spread_join(rows, mixed, "key", mixed, rows.count())
+    rows_mixed = written(held.withColumn("own", F.xxhash64("node", "key")), "mixed-rows")
+    low, high = F.ceil((F.col("k") - F.col("n_major")) / BLOCK).cast("int"), F.ceil(F.col("n_major") / BLOCK).cast("int")
+    in_major = F.col("component") == F.col("major")
+    dealt = rows_mixed.join(classes.select("node", "n", "sketch"), "node").withColumns({"low": low, "high": high})
+    dealt = dealt.withColumn("block", F.when(in_major, F.col("low") + F.pmod("own", "high")).otherwise(F.pmod("own", "low")).cast("int"))
+    others = F.when(in_major, F.sequence(F.lit(0), F.col("low") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("low") + F.col("high") - 1), F.col("block")))
+    dealt = dealt.withColumn("other", F.explode(others))
+    dealt = dealt.select("key", "band", "node", "component", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.greatest("block", "other") == F.col("low")).alias("inner"))
+    band_rows = rows_in_band(similarity)
+    groups = written(dealt.groupBy("key", "i", "j").applyInArrow(lambda t: screened(t, similarity, band_rows), "sub long, node long, component long, part int"), "likely")
+    spent(rows, mixed, rows_mixed)
+    if groups.isEmpty():
+        spent(groups)
+        return None
+    sets = _needed_sets(groups.select("node"), classes, docs, size, "rest")
+    links = written(groups.join(sets, "node").groupBy("sub").applyInArrow(lambda t: linked(t, percent), "a long, b long"), "rest-links")
+    spent(groups, sets)
+    return links
 
 
 def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -315,7 +376,10 @@ def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     A null or text without words has an empty set and is linked with nothing. Rows that share a doc_id and have words
     are linked, whatever their texts; each of the texts has its own links to others.
     A null doc_id is linked with nothing; its component_id is null and it isn't kept. Repeated rows each give a row.
-    An empty table gives no rows. Extra columns are not read.
+    An empty table gives no rows. Ties: of several least nodes or components the smallest number wins, which only decides
+    what is compared first. A very long text is one set like others; a task holds about 512 KB of text, or one text, at a
+    time. Words and shingles are told apart by 64-bit hashes, sets by 128-bit ones, so "full sets" are sets of hashes.
+    Extra columns are not read.
     """
     similarity = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -325,21 +389,33 @@ def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = rows_in_band(similarity)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sketch", 1 + 2 * rows * k, 2 * rows)) for k in range(REGISTERS // rows)))
-    banded = classes.select("node", F.explode(keys).alias("key"))
-    pivots = written(banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
-    shared = written(banded.join(pivots, "key"), "shared")
-    stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    banded = classes.select("node", F.posexplode(keys).alias("band", "key"))
+    pivots = written(banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("node").alias("k")).where("pivot < last").select("key", "pivot", "k"), "pivots")
+    least = pivots.drop("k")
+    shared = banded.join(F.broadcast(least), "key") if pivots.count() <= MOST_BROADCAST else spread_join(banded, least, "key", pivots, classes.count() * (REGISTERS // rows))
+    shared = written(shared, "shared")
+    stars = written(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     links = _verified(_likely(stars, classes, similarity), classes, docs, size, percent, "star")
-    members = written(components(links), "members")
+    members = components(links)
     more = _across(shared, members, classes, docs, size, percent)
+    spent(pivots, shared, stars, links)
     # Classes that have an id in common hang together by it.
     several = written(full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"), "several")
-    texts = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "texts")
-    own = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
-    final = written(components(links.union(more).union(own)), "final")
-    named = written(classes.select("node", "least").join(final, "node").groupBy("component").agg(F.min("least").alias("id")), "named")
-    final = final.join(named, "component").select("node", "id")
-    changed = written(classes.select("node", "digest", "copies", "least").join(final, "node", "left").where("copies > 1 OR id IS NOT NULL").select("digest", F.coalesce("id", "least").alias("component")), "changed")
-    out = all_rows.select("doc_id", "n", "digest").join(changed, "digest", "left")
+    final, tables = members, [several, members]
+    if more is not None or not several.isEmpty():
+        texts = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "texts")
+        own = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+        edges = members.select(F.col("node").alias("a"), F.col("component").alias("b")).union(own)
+        final = components(edges if more is None else edges.union(more))
+        tables += [texts, final] + ([] if more is None else [more])
+    named = final.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("id"), F.count("least").alias("k"))
+    named = written(named, "named")
+    ids = spread_join(final, named.drop("k"), "component", named, final.count()).select("node", "id")
+    changed = classes.select("node", "digest", "copies", "least").join(ids, "node", "left").where("copies > 1 OR id IS NOT NULL")
+    changed = written(changed.select("digest", F.coalesce("id", "least").alias("component"), F.col("copies").alias("k")), "changed")
+    spent(classes, named, *tables)
+    # Rows without words have no class; their digest is one of their own, lest they all go to one task.
+    out = all_rows.select("doc_id", "n", F.coalesce("digest", F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("digest"))
+    out = spread_join(out, changed.drop("k"), "digest", changed, all_rows.count(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import free_prefix, read, written
+from lattica.llm.common import free_prefix, read, spent, spread_join, written
 from lattica.llm.near_dups import MOST_BROADCAST, near_dups
 from lattica.llm.packing import packed
 from lattica.llm.quality_rules import quality_rules
@@ -14,42 +14,58 @@ from lattica.llm.toxicity import toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that operator 7 doesn't call toxic; scores come in the same pass as the rows."""
+    """The documents that operator 7 doesn't call toxic; scores come in the same pass as the rows.
+
+    Null and empty texts get the score of no evidence and stay unless that alone is toxic; null ids are scored like
+    others; repeated rows get equal scores and go or stay together; a score at the threshold is toxic. A very long text
+    is read whole. An empty table stays empty. Columns keep their names, whatever they are.
+    """
     rated = toxicity(docs, read(spark, sf_dir, "labels"), training=read(spark, sf_dir, "documents"), keep_columns=True)
     return rated.where(F.col(rated.columns[-1]) == 0).select(*docs.columns)
 
 
 def without_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that operator 5 keeps."""
+    """The documents that operator 5 keeps.
+
+    Null, empty and blank texts have no words and go; a null id changes nothing; repeated rows go or stay together; a
+    measure at its limit is good. A very long text is read whole. An empty table stays empty. Columns keep their names,
+    whatever they are.
+    """
     judged = quality_rules(docs, keep_columns=True)
     return judged.where(F.col(judged.columns[-1])).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group of operator 4, five words a shingle and a similarity of 0.8; the least id stays.
+    """One row of each near-duplicate group of operator 4, five words a shingle and a similarity of 0.8.
 
-    Rows are grouped by their texts, whatever their ids: repeated rows are copies of each other, two texts under one id
-    aren't. Of a group that has rows without an id, one of those stays besides the least id. Texts without words are
-    copies only under the same id and with the same text.
+    Rows are numbered and grouped by their texts, whatever their ids: repeated rows and rows without an id are copies
+    like others, two texts under one id aren't. The least id stays, of equal ones any one row; a row without an id stays
+    only where its group has no id. Null, empty and blank texts are linked with nothing: those rows all stay. An empty
+    table stays empty. A very long text is read whole. Columns keep their names, whatever they are.
     """
     row = free_prefix(docs.columns, "row_")
     docs_by_row = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = written(near_dups(docs_by_row.select(F.col(row).alias("doc_id"), "text"), size=5, percent=80), "found")
-    loose = found.where("n_shingles > 0 AND NOT kept").select("doc_id", "component_id")
-    grouped = loose.union(loose.select("component_id", "component_id")).distinct()
-    grouped = written(grouped.union(found.where("n_shingles = 0").select("doc_id", F.lit(None).cast("long"))).toDF(row, "group"), "grouped")
-    few = F.broadcast if grouped.count() <= MOST_BROADCAST else lambda x: x
-    members = docs_by_row.select(row, "doc_id", "text").join(few(grouped), row)
-    wordless = F.col("group").isNull()
-    members = written(members.select(row, "doc_id", "group", F.col("doc_id").isNull().alias("no_id"), F.when(wordless, F.col("doc_id")).alias("of"), F.when(wordless, F.col("text")).alias("only")), "grouped-rows")
-    stay = members.groupBy("group", "no_id", "of", "only").agg(F.min(F.struct("doc_id", row))[row].alias(row))
-    gone = written(members.select(row).join(stay.select(row), row, "left_anti"), "gone")
+    found = near_dups(docs_by_row.select(F.col(row).alias("doc_id"), "text"), size=5, percent=80)
+    found = written(found.where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("group"), "kept"), "found")
+    # Rows that are alone in their group need no look: only groups with a row that isn't kept do.
+    sizes = written(found.groupBy("group").agg(F.count(row).alias("k")).where("k > 1"), "sizes")
+    total = found.count()
+    grouped = spread_join(found.select(row, "group"), sizes.select("group"), "group", sizes, total)
+    members = written(grouped.join(docs_by_row.select(row, "doc_id"), row).select(row, "group", "doc_id"), "members")
+    stay = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias("stays"))
+    gone = spread_join(members, stay, "group", sizes, total).where(F.col(row) != F.col("stays")).select(row)
+    gone = written(gone, "gone")
     few = F.broadcast if gone.count() <= MOST_BROADCAST else lambda x: x
+    spent(found, sizes, members)
     return docs_by_row.join(few(gone), row, "left_anti").select(*docs.columns)
 
 
 def into_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens as pieces in sequences, by operator 6."""
+    """The documents' tokens as pieces in sequences, by operator 6.
+
+    A null or empty text is one end token; a null id stays null; repeated rows are documents of their own; a very long
+    text fills whole sequences; an empty table gives no rows. Other columns aren't read.
+    """
     return packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

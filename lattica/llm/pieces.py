@@ -2,7 +2,12 @@
 
 Encoding is a Viterbi search for the segmentation into pieces with the highest sum of log scores. Pieces lie in a
 double-array trie over their UTF-8 bytes. A character that no piece of one character covers costs the lowest score
-less a penalty and becomes byte pieces. Spaces become whitespace markers, one more in front of a text.
+less a penalty and becomes byte pieces. Spaces become whitespace markers, one more in front of a text, as the model file's
+normalizer says.
+
+A unigram model's scores are log probabilities. A merge model's are minus the ranks of its pieces; frequencies fall with
+the rank about as Zipf's law says, so there a piece of rank r (from 0 on) gets the log probability of 1 / (r + 1), scaled to
+a sum of 1. That is a rule over the file; nothing is trained.
 
 No piece of the usual models holds a marker after another character. Then a text falls into independent stretches,
 markers and what follows them; only stretches that a process hasn't seen yet are searched, all of them in lockstep over
@@ -78,19 +83,31 @@ class Pieces:
     """The pieces of a model file, for both directions."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        names = [model.id_to_piece(i) for i in range(n)]
-        self.score = np.array([model.get_score(i) for i in range(n)], np.float64)
-        special = [model.is_byte(i) or model.is_control(i) or model.is_unknown(i) for i in range(n)]
-        normal = {names[i].encode(): i for i in range(n) if not special[i] and not model.is_unused(i)}
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto()
+        with open(path, "rb") as file:
+            model.ParseFromString(file.read())
+        rule = model.normalizer_spec
+        if rule.precompiled_charsmap or not rule.escape_whitespaces:
+            raise ValueError("a model that maps characters, or keeps spaces as they are, isn't supported")
+        self.prefix, self.squeeze = rule.add_dummy_prefix, rule.remove_extra_whitespaces
+        kind = proto.ModelProto.SentencePiece
+        names, types = [p.piece for p in model.pieces], [p.type for p in model.pieces]
+        n = len(names)
+        own = [t in (kind.NORMAL, kind.USER_DEFINED) for t in types]
+        self.score = np.array([p.score for p in model.pieces], np.float64)
+        if model.trainer_spec.model_type == proto.TrainerSpec.BPE:
+            self.score = zipf(self.score, np.array(own))
+        special = [t in (kind.BYTE, kind.CONTROL, kind.UNKNOWN) for t in types]
+        normal = {names[i].encode(): i for i in range(n) if own[i]}
+        self.names, self.shown = {k.decode(): i for k, i in normal.items()}, names
         self.trie = DoubleArray(normal)
         self.longest = max(map(len, normal))
         self.unknown_score = min(self.score[i] for i in normal.values()) - PENALTY
-        self.byte_id = np.array([model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
-        self.is_byte = np.array([model.is_byte(i) for i in range(n)])
+        by_name = {x: i for i, x in enumerate(names)}
+        self.byte_id = np.array([by_name[f"<0x{b:02X}>"] for b in range(256)], np.int32)
+        self.is_byte = np.array([t == kind.BYTE for t in types])
         shown = [bytes([int(names[i][3:5], 16)]) if self.is_byte[i] else b"" if special[i] else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.size = np.array([len(x) for x in shown], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -98,24 +115,46 @@ class Pieces:
         apart = not any(MARK in p.lstrip(MARK) for p in map(bytes.decode, normal))
         self.stretches = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if apart else "(?s).+").findall
 
+    def normal(self, text: str) -> str:
+        """The text as it is searched: spaces as markers, one in front."""
+        if self.squeeze:
+            text = " ".join(x for x in text.split(" ") if x)
+        return (MARK * self.prefix + text.replace(" ", MARK)) if text else ""
+
+
+def zipf(score: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law for the pieces `own`, whose scores fall with their ranks; equal scores have one rank."""
+    _, rank = np.unique(-score[own], return_inverse=True)
+    out = np.zeros(len(score))
+    out[own] = -np.log(rank + 1.0) - np.log((1 / (rank + 1.0)).sum())
+    return out
+
 
 class Encoder:
-    """Encodes texts; keeps the ids of stretches, up to a bound."""
+    """Encodes texts; keeps the ids of short stretches, up to a bound of about 60 MB."""
 
-    def __init__(self, pieces: Pieces, most: int = 200_000):
-        self.pieces, self.most = pieces, most
+    def __init__(self, pieces: Pieces, most: int = 200_000, longest: int = 48):
+        self.pieces, self.most, self.longest = pieces, most, longest
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; an empty text has none."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        cut = [self.pieces.stretches(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = [self.pieces.stretches(self.pieces.normal(t)) for t in texts]
         new = list(set().union(*cut).difference(self.known)) if cut else []
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            self.known.update(zip(part, self._search([s.encode("utf-8", "replace") for s in part])))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, c)), np.int32) for c in cut]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = list(set().union(*cut))
+        found: dict[str, bytes] = {}
+        part, size = [], 0
+        for k, s in enumerate(new):
+            part.append(s)
+            size += len(s)
+            if size >= 300_000 or k + 1 == len(new):
+                found.update(zip(part, self._search([s.encode("utf-8", "replace") for s in part])))
+                part, size = [], 0
+        self.known.update((s, x) for s, x in found.items() if len(s) <= self.longest and len(self.known) < self.most)
+        get = lambda s: found[s] if s in found else self.known[s]
+        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 
     def _edges(self, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
         """From, to, id (-1: unknown character) of every piece found in the stretches; end: each byte's stretch's end."""
@@ -205,7 +244,7 @@ def decode(pieces: Pieces, ids: np.ndarray) -> str:
     size = pieces.size[ids]
     at = np.repeat(pieces.start[ids] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
     data = pieces.flat[at].tobytes()
-    if data[:1] == b" " and not pieces.is_byte[ids[0]]:
+    if pieces.prefix and data[:1] == b" " and not pieces.is_byte[ids[0]]:
         data = data[1:]
     try:
         return data.decode()
@@ -218,7 +257,8 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
 
     round_trip: decoding gives the text again (a text that holds the whitespace marker itself doesn't). A null or
     empty text has no pieces; a null id stays null; repeated rows stay; an empty table gives no rows; other columns are
-    not read. Scores are summed in double precision within a stretch, so very long texts lose no precision.
+    not read. Of segmentations with equal sums the one whose last piece starts first is taken, and so on backwards. Scores
+    are summed in double precision within a stretch, so very long texts lose no precision.
     """
     pieces = Pieces(model)
     columns = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids

@@ -2,9 +2,14 @@
 
 A text is its sequence of word shingles. Templates fall into tiers by their number of shingles; a tier's windows hold
 twice as many and overlap by half, so some window holds any whole notice. A window has one MinHash value a band (the
-least of its shingles' hashes, hashed again with the band's seed); it retrieves a template with an equal value in any band. The number
-of bands follows from the least similarity that a window around a match can have, so that a match is missed with at
-most the chance MOST_MISSED. Retrieved windows are verified by exact containment of the template's shingles.
+least of its shingles' hashes, hashed again with the band's seed); it retrieves a template with an equal value in any
+band. The number of bands follows from the least similarity that a window around a match can have, so that a match is
+missed with at most the chance MOST_MISSED. Retrieved windows are verified by exact containment of the template's
+shingles.
+
+The bands of all templates are one table (shingle, tier, band, template), joined by shingle: a window can have a
+template's value only where it holds the shingle that gives it, so only windows around such shingles are worked out.
+The plan is the same for any number of templates.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from lattica.llm.common import WORD_GAP, let, null_as
 MOST_MISSED = 1e-6
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&_/\\-–—"
 
-#: Common license notices.
+#: Common license notices, headers of source files, and whole texts of short licenses.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -30,6 +35,70 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
+        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "ISC text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
+        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    "BSD-2-Clause text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+        the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+        OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+        WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+        THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "Zlib text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original
+        software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+        but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+        the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain. We make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law.""",
+    "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "GPL-2.0-or-later header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details.""",
+    "GPL-3.0-or-later header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+        License for more details. You should have received a copy of the GNU General Public License along with this program. If
+        not, see <https://www.gnu.org/licenses/>.""",
+    "AGPL-3.0-or-later header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+        option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General
+        Public License for more details.""",
+    "MPL-2.0 header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
 
@@ -53,45 +122,10 @@ class Tier:
         self.least = least
         bands = 1 if least >= 1 else math.ceil(math.log(MOST_MISSED) / math.log(1 - least))
         self.bands = range(bands)
-        #: The template shingles whose hashes are a band's value: only a window that holds one of them can be retrieved.
-        self.values = {min(t, key=lambda h, band=band: banded(h, band)) for t in templates.values() for band in self.bands}
-
-    def windows(self, hashes: Column) -> Column:
-        """Numbers of the windows."""
-        return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(hashes) / self.stride).cast("int") - 1, F.lit(0)))
-
-    def held(self, hashes: Column, k: Column) -> Column:
-        return F.slice(hashes, k * self.stride + 1, F.lit(self.window))
-
-    def retrieves(self, hashes: Column) -> Column:
-        """Whether any window has a value of any template in any band."""
-        any_band = F.lit(False)
-        if self.window == 1:  # a window is a shingle, and its value is itself
-            return F.coalesce(F.arrays_overlap(hashes, F.array(*(F.lit(t[0]) for t in self.templates.values()))), F.lit(False))
-        for band in self.bands:
-            values = F.array(*(F.lit(min(banded(h, band) for h in t)) for t in self.templates.values()))
-            found = let(_banded(hashes, band), lambda m: F.transform(self.windows(m), lambda k: F.array_min(self.held(m, k))))
-            any_band = any_band | F.arrays_overlap(found, values)
-        return F.coalesce(any_band, F.lit(False))
-
-    def matches(self, hashes: Column) -> list[Column]:
-        """For each template its id, the highest containment in a window that retrieves it, and that window's first shingle."""
-        out = []
-        for name, shingles in self.templates.items():
-            own = F.array(*map(F.lit, shingles))
-
-            def hit(w: Column, shingles: list[int] = shingles) -> Column:
-                found = F.lit(False)
-                for band in self.bands:
-                    found = found | (F.array_min(_banded(w, band)) == min(banded(h, band) for h in shingles))
-                return F.coalesce(found, F.lit(False))
-
-            scored = F.transform(
-                F.filter(self.windows(hashes), lambda k: hit(self.held(hashes, k))),
-                lambda k: F.struct((F.size(F.array_intersect(self.held(hashes, k), own)) / len(shingles)).alias("containment"), (-k * self.stride).cast("long").alias("place")),
-            )
-            out.append(let(F.array_max(scored), lambda b: F.struct(F.lit(name).alias("license"), b["containment"].alias("containment"), (-b["place"]).alias("place"))))
-        return out
+
+    def values(self) -> list[tuple[int, int, int, int, str]]:
+        """For each template and band the shingle that gives the value, the window, the stride, the band and the template."""
+        return [(min(t, key=lambda h, band=band: banded(h, band)), self.window, self.stride, band, name) for name, t in self.templates.items() for band in self.bands]
 
 
 def banded(h: int, band: int) -> int:
@@ -100,10 +134,6 @@ def banded(h: int, band: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _banded(hashes: Column, band: int) -> Column:
-    return F.transform(hashes, lambda h: F.xxhash64(F.lit(band).cast("long"), h))
-
-
 def tiers(spark: SparkSession, templates: dict[str, str], size: int, contained: float) -> list[Tier]:
     """The templates by their numbers of distinct shingles: 1, up to 4, up to 8, up to 16 and so on."""
     rows = spark.createDataFrame(sorted(templates.items()), "license string, text string")
@@ -118,19 +148,31 @@ def tiers(spark: SparkSession, templates: dict[str, str], size: int, contained:
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, size: int = 5, contained: float = 0.8) -> DataFrame:
     """doc_id, license, containment, place (the window's first shingle) for each notice that a text holds.
 
-    A row matches a license once, by its best window (of equals the first). Null and empty texts match nothing; a null
-    id stays null; repeated rows each give their matches; an empty table or no templates give no rows. Extra columns
-    are not read. Nothing is shuffled. Matching goes on where a look-up finds a band value's shingle in the text.
+    A row matches a template once, by its best window (of equals the first). Null and empty texts match nothing; a null
+    id stays null; repeated rows each give their matches; an empty table or no templates give no rows. A very long text
+    is read whole; its windows are worked out one after the other. Extra columns are not read. Only matches are
+    shuffled. The table of bands is broadcast: it has as many rows as the given templates have bands.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingle_hashes(F.col("text").cast("string"), size).alias("hashes"))
-    found = tiers(docs.sparkSession, templates, size, contained)
-    none = F.array().cast("array<struct<license:string,containment:double,place:bigint>>")
-    # A window's value equals a template's only where it holds the shingle that gives the value: look those up first.
-    rows = rows.where(F.arrays_overlap("hashes", F.array(*map(F.lit, sorted({v for t in found for v in t.values}))).cast("array<long>"))) if found else rows.limit(0)
-    # Only a row that a tier retrieves is verified against the tier's templates.
-    each = [F.when(t.retrieves(F.col("hashes")), F.array(*t.matches(F.col("hashes")))).otherwise(none) for t in found]
-    hits = rows.select("doc_id", F.explode(F.filter(F.concat(none, *each), lambda m: m["containment"] >= contained - 1e-9)).alias("m"))
-    return hits.select("doc_id", "m.license", "m.containment", "m.place")
+    spark = docs.sparkSession
+    found = tiers(spark, templates, size, contained)
+    values = [v for t in found for v in t.values()] or [(0, 1, 1, 0, "")]
+    bands = F.broadcast(spark.createDataFrame(values, "h long, window int, stride int, band long, license string"))
+    own = F.broadcast(spark.createDataFrame([(name, t) for tier in found for name, t in tier.templates.items()] or [("", [0])], "license string, own array<long>"))
+    hashes = shingle_hashes(F.col("text").cast("string"), size)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), hashes.alias("hashes"))
+    known = ", ".join(f"{h}L" for h in sorted({v[0] for v in values}))  # a set that each shingle is looked up in
+    hits = F.expr(f"filter(transform(hashes, (h, i) -> CASE WHEN h IN ({known}) THEN struct(h AS h, i AS at) END), x -> x IS NOT NULL)")
+    hits = rows.select("*", F.explode(hits).alias("hit")).select("row", "doc_id", "hashes", "hit.*").join(bands, "h")
+    # The windows that hold a place: its own one, and but for windows of one shingle the one before.
+    last = F.floor(F.col("at") / F.col("stride")).cast("int")
+    around = F.filter(F.array(last, F.when(F.col("window") > 1, last - 1)), lambda k: k >= 0)
+    held = hits.select("row", "doc_id", "h", "band", "license", F.col("stride"), F.explode(around).alias("k"), "hashes", "window")
+    held = held.select("row", "doc_id", "h", "band", "license", (F.col("k") * F.col("stride")).cast("long").alias("place"), F.slice("hashes", F.col("k") * F.col("stride") + 1, F.col("window")).alias("held"))
+    value = lambda h: F.xxhash64(F.col("band"), h)
+    held = held.where(F.array_min(F.transform("held", value)) == value(F.col("h"))).join(own, "license")
+    scored = held.select("row", "doc_id", "license", F.struct((F.size(F.array_intersect("held", "own")) / F.size("own")).alias("containment"), (-F.col("place")).alias("before")).alias("m"))
+    best = scored.where(F.col("m.containment") >= contained - 1e-9).groupBy("row", "doc_id", "license").agg(F.max("m").alias("m"))
+    return best.select("doc_id", "license", F.col("m.containment").alias("containment"), (-F.col("m.before")).alias("place"))
 
 
 def _sql() -> str:

@@ -128,18 +128,24 @@ def license_brute(rows, contained=0.8):
 
 def test_licenses(spark, odd_rows):
     rng = random.Random(7)
-    rows = list(odd_rows)
-    for k in range(60):
-        name, t = rng.choice(list(TEMPLATES.items()))
+    rows = [*odd_rows, (98, " ".join(TEMPLATES["MIT text"].split() * 30)), (99, " ".join(TEMPLATES.values()))]
+    for k in range(3 * len(TEMPLATES)):
+        name, t = list(TEMPLATES.items())[k % len(TEMPLATES)]
         w = t.split()
         if rng.random() < 0.4:
             w[rng.randrange(len(w))] = "changed"
         rows.append((100 + k, words(rng, rng.randrange(0, 60)) + "\n" + " ".join(w).upper() + "\n" + words(rng, rng.randrange(0, 60))))
     got = sorted(((r.doc_id, r.license, round(r.containment, 6), r.place) for r in native(licenses(frame(spark, rows)))), key=repr)
-    assert got == license_brute(rows) and len(got) > 20
+    assert got == license_brute(rows) and len(got) > 20 and {x[1] for x in got} > {"MIT text", "BSD-2-Clause text", "GPL-3.0-or-later header"}
     assert licenses(frame(spark, [])).collect() == [] and licenses(frame(spark, rows), {}).collect() == []
 
 
+def test_the_plan_is_the_same_for_any_number_of_templates(spark):
+    docs = frame(spark, [(1, "a b c")])
+    size = lambda n: licenses(docs, dict(list(TEMPLATES.items())[:n]))._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+    assert size(4) == size(len(TEMPLATES))
+
+
 def test_license_bands_hash_anew(spark):
     some = [0, 1, -1, 2**63 - 1, -(2**63), 123456789]
     df = spark.createDataFrame([(h,) for h in some], "h long")

@@ -58,17 +58,20 @@ class Net:
         self.out = rng.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.bias = np.zeros(1, np.float32)
 
-    def block_maxima(self, data: np.ndarray, real: np.ndarray, piece: int = 64 * BLOCK) -> np.ndarray:
-        """The highest response of each filter in each block."""
+    def block_maxima(self, data: np.ndarray, real: np.ndarray, places: bool = False, piece: int = 64 * BLOCK) -> tuple[np.ndarray, np.ndarray]:
+        """The highest response of each filter in each block, and its place there; worked out for a piece of the bytes at a time."""
         n = len(real)
-        out = np.empty((n // BLOCK, FILTERS), np.float32)
+        out, best = np.empty((n // BLOCK, FILTERS), np.float32), np.empty((n // BLOCK, FILTERS), np.int64)
         for a in range(0, n, piece):
             b = min(a + piece, n)
             part = responses(data, self.taps, a, b)
             if not real[a:b].all():
                 part[~real[a:b]] = LOWEST
-            out[a // BLOCK : b // BLOCK] = part.reshape(-1, BLOCK, FILTERS).max(1)
-        return out
+            part = part.reshape(-1, BLOCK, FILTERS)
+            out[a // BLOCK : b // BLOCK] = part.max(1)
+            if places:
+                best[a // BLOCK : b // BLOCK] = part.argmax(1)
+        return out, best
 
     def features(self, maxima: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Mean and maximum over each text's chunks; zeros for an empty text."""
@@ -88,7 +91,7 @@ class Net:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         data, blocks, real = laid_out(texts)
-        odds = self.features(self.block_maxima(data, real), blocks) @ self.out + self.bias[0]
+        odds = self.features(self.block_maxima(data, real)[0], blocks) @ self.out + self.bias[0]
         return 1 / (1 + np.exp(-np.clip(odds.astype(np.float64), -60, 60)))
 
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 4) -> Net:
@@ -119,11 +122,7 @@ class Net:
 
     def _gradients(self, texts: list[bytes], y: np.ndarray) -> list[np.ndarray]:
         data, blocks, real = laid_out(texts)
-        part = responses(data, self.taps, 0, len(real))
-        part[~real] = LOWEST
-        part = part.reshape(-1, BLOCK, FILTERS)
-        best = part.argmax(1)  # each block's position of the highest response
-        maxima = np.take_along_axis(part, best[:, None], 1)[:, 0]
+        maxima, best = self.block_maxima(data, real, True)
         edge = np.cumsum(blocks) - blocks
         nxt = np.arange(len(maxima)) + 1
         nxt[edge + blocks - 1] -= 1
@@ -144,13 +143,14 @@ class Net:
         return [taps.astype(np.float32), back.sum(0), error @ feats, np.array([error.sum()], np.float32)]
 
 
-def quality(docs: DataFrame, labels: DataFrame, most_bad: int = 1000, most_good: int = 1600, most_chars: int = 20_000, threshold: float = 0.7) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, most_bad: int = 1000, most_good: int = 1600, most_chars: int = 12_000_000, threshold: float = 0.7) -> DataFrame:
     """Score every whole text of docs (doc_id, text); learn from labels (doc_id, quality).
 
-    Labels whose crc32(doc_id) mod 4 is 2 are held out. The fit takes at most most_bad and most_good rows, with
-    texts of up to most_chars; scoring has no bound. Every row gives one row: a null or empty text gets the score of
-    no evidence; a null id is scored, with held_out null; repeated rows stay; other columns are not read. With no
-    labels, or of one class only, every text gets the smoothed share of good labels.
+    Labels whose crc32(doc_id) mod 4 is 2 are held out. The fit takes at most most_bad and most_good whole texts of
+    most_chars characters in all; scoring has no bound: a very long text is read in chunks to its end. Every row gives
+    one row: a null or empty text gets the score of no evidence; a null id is scored, with held_out null; repeated rows
+    stay and get equal scores; a score of exactly the threshold is predicted 1; an empty table gives no rows; other
+    columns are not read. With no labels, or of one class only, every text gets the smoothed share of good labels.
     """
     texts, y = training_rows(docs, labels, "quality", 4, 2, (most_bad, most_good), most_chars)
     net = Net().fit([t.encode("utf-8", "replace") for t in texts], y)

@@ -1,9 +1,10 @@
 """Operator 7: toxicity by averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams and itself, hashed into a fixed number of buckets, each with a vector.
-The average of its subword vectors goes into a linear softmax that gives the word's log odds of being toxic. The
-text's log odds are the average over all its distinct words, weighted by the softmax of the same log odds, so one
-insult in a long text isn't averaged away. Vectors and softmax are fitted together, through that pooling.
+A word is the bag of its character n-grams and itself, hashed into a fixed number of buckets, each with a vector. The
+average of the subword vectors of a stretch of text goes into a linear softmax over clean and toxic. A text of up to
+WINDOW words is one such bag. A longer one is read in overlapping windows, and its log odds are the average over all of
+them, weighted by the softmax of the same log odds, so that a toxic passage in a long text isn't averaged away. Vectors
+and softmax are fitted together, through that pooling. Misspellings share n-grams with what was learned.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import crc_of, free_prefix, sampled, sliced, texts_of
+from lattica.llm.common import crc_of, free_prefix, sampled, sliced, spent, texts_of, written
 
 SHORTEST, LONGEST, BITS, DIM = 3, 6, 18, 8
 BUCKETS = 1 << BITS
@@ -27,18 +28,15 @@ LEAST = 6
 LOW = 0.35
 #: The weight of a subword without a vector in a word's average.
 UNKNOWN = 0.3
-#: How much the highest words count beyond others.
-SHARP = 1.0
+#: Words of a window; it begins at every half of that.
+WINDOW = 8
+#: How much the highest windows count beyond others.
+SHARP = 3.0
 STRIP = ".,;:!?\"'()[]{}<>|*#$%&_-–—…«»“”‘’"
 
 
-def bags(vocabulary: list[str], part: int = 30_000) -> tuple[np.ndarray, np.ndarray]:
+def bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of each word, edges marked, and of the whole word; and which word each belongs to."""
-    found = [(b.astype(np.int32), (o + k).astype(np.int32)) for k in range(0, len(vocabulary), part) for b, o in [_bags(vocabulary[k : k + part])]]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-
-
-def _bags(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w.strip(STRIP)}>" for w in vocabulary]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
@@ -71,6 +69,30 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts with these numbers of words, all in a row, where windows begin and end, and how many each text has; of no words: none."""
+    half = WINDOW // 2
+    count = np.where(lengths > 0, np.maximum(-(-(lengths - half) // half), 1), 0)
+    text = np.repeat(np.arange(len(lengths)), count)
+    number = np.arange(len(text)) - (np.cumsum(count) - count)[text]
+    begin = (np.cumsum(lengths) - lengths)[text] + number * half
+    return begin, np.minimum(begin + WINDOW, np.cumsum(lengths)[text]), count
+
+
+def pooled(value: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's average over its windows' values, weighted by their softmax, and the weights; every text has a window."""
+    edge = np.cumsum(count) - count
+    share = np.exp(SHARP * (value - np.repeat(np.maximum.reduceat(value, edge), count)))
+    share /= np.repeat(np.add.reduceat(share, edge), count)
+    return np.add.reduceat(share * value, edge), share
+
+
+def ranged(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ranges."""
+    total = np.concatenate([[0.0], np.cumsum(flat, dtype=np.float64)])
+    return total[end] - total[begin]
+
+
 class Model:
     """Vectors of the buckets and a softmax over two classes; what texts need of both is one number for each bucket."""
 
@@ -88,13 +110,13 @@ class Model:
             self.bias = np.log(np.array([1 - share, share], np.float32))
             return self
         index: dict[str, int] = {}
-        coded = [np.array(sorted({index.setdefault(w.strip(STRIP), len(index)) for w in words(t)}), np.int64) for t in texts]
-        in_texts = np.bincount(np.concatenate(coded), minlength=len(index))
+        coded = [np.array([index.setdefault(w.strip(STRIP), len(index)) for w in words(t)], np.int32) for t in texts]
+        in_texts = np.bincount(np.concatenate([np.unique(c) for c in coded]), minlength=len(index))
         # Words are coded in parts: what all their subwords need at once is a bucket each.
         vocabulary, part, counts = list(index), 30_000, np.zeros(BUCKETS)
         parts, totals = [], []
         for k in range(0, len(vocabulary), part):
-            found, owner = _bags(vocabulary[k : k + part])
+            found, owner = bags(vocabulary[k : k + part])
             parts.append(found[np.argsort(owner, kind="stable")].astype(np.int32))
             totals.append(np.bincount(owner, minlength=len(vocabulary[k : k + part])))
             counts += np.bincount(parts[-1], np.repeat(in_texts[k : k + part], totals[-1]), BUCKETS)
@@ -123,23 +145,22 @@ class Model:
             full = [k for k, c in enumerate(some) if len(c)]
             y = labels[part[full]]
             rows = np.concatenate([some[k] for k in full])
-            edge = np.concatenate([[0], np.cumsum([len(some[k]) for k in full])])
+            begin, end, count = windows(np.array([len(some[k]) for k in full]))
             uniq, back = np.unique(rows, return_inverse=True)
             size = size_of[uniq]
             at = np.concatenate([[0], np.cumsum(size)])
             flat = bucket[np.arange(at[-1]) + np.repeat(first[uniq] - at[:-1], size)]
             diff = self.out[:, 1] - self.out[:, 0]
-            z = np.append(vectors @ diff, 0)
-            sums = np.concatenate([[0.0], np.cumsum(z[flat], dtype=np.float64)])
-            value = ((sums[at[1:]] - sums[at[:-1]]) / weight[uniq])[back]
-            top = np.maximum.reduceat(value, edge[:-1])
-            length = np.diff(edge)
-            share = np.exp(SHARP * (value - np.repeat(top, length)))
-            share /= np.repeat(np.add.reduceat(share, edge[:-1]), length)
-            logit = np.add.reduceat(share * value, edge[:-1]) + self.bias[1] - self.bias[0]
-            error = 1 / (1 + np.exp(-logit)) - y
+            total_of = ranged((vectors @ diff)[flat], at[:-1], at[1:])
+            bag = ranged(weight[uniq][back], begin, end)
+            value = ranged(total_of[back], begin, end) / bag
+            logit, share = pooled(value, count)
+            error = 1 / (1 + np.exp(-logit - self.bias[1] + self.bias[0])) - y
             error *= np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
-            per_word = np.bincount(back, share * np.repeat(error, length), len(uniq)) / weight[uniq]
+            # What each window's error is to each of its words, which lie in one or two windows.
+            given = share * np.repeat(error, count) / bag
+            steps_ = np.bincount(begin, given, len(rows) + 1) - np.bincount(end, given, len(rows) + 1)
+            per_word = np.bincount(back, np.cumsum(steps_)[:-1], len(uniq))
             hit = np.bincount(flat, np.repeat(per_word, size), len(active))
             toward = hit @ vectors
             grads = [np.outer(hit, diff).astype(np.float32), np.stack([-toward, toward], 1), np.array([-error.sum(), error.sum()])]
@@ -157,47 +178,69 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; keeps the values of words, up to a bound."""
-
-    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 200_000):
-        self.per_bucket, self.bias, self.most = per_bucket, bias, most_words
-        self.known: dict[str, float] = {}
-
-    def values(self, new: list[str]) -> np.ndarray:
-        """The mean over each word's subwords."""
-        bucket, owner = bags(new)
-        z = self.per_bucket[bucket]
-        return np.bincount(owner, z, len(new)) / weights(np.bincount(owner, z != 0, len(new)), np.bincount(owner, minlength=len(new)))
-
-    def learn(self, texts: list[str]) -> None:
-        """Work out all new words of these texts at once."""
-        if len(self.known) > self.most:
+    """Scores texts; keeps the sums of short words, up to a bound of about 40 MB."""
+
+    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 200_000, longest: int = 40):
+        self.per_bucket, self.bias, self.most, self.longest = per_bucket, bias, most_words, longest
+        self.known: dict[str, tuple[float, float]] = {}
+
+    def sums(self, new: list[str]) -> list[tuple[float, float]]:
+        """Sum and weight of each word's subwords; worked out for some 300,000 characters at a time."""
+        out: list[tuple[float, float]] = []
+        part: list[str] = []
+        size = 0
+        for k, w in enumerate(new):
+            part.append(w)
+            size += len(w)
+            if size > 300_000 or k + 1 == len(new):
+                bucket, owner = bags(part)
+                z = self.per_bucket[bucket]
+                weight = weights(np.bincount(owner, z != 0, len(part)), np.bincount(owner, minlength=len(part)))
+                out += zip(np.bincount(owner, z, len(part)).tolist(), weight.tolist())
+                part, size = [], 0
+        return out
+
+    def odds(self, texts: list[str]) -> np.ndarray:
+        """Log odds of texts; without words those of no evidence."""
+        cut = [words(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known)) if cut else []
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
-        new = list(set().union(*map(words, texts)).difference(self.known)) if texts else []
-        if new:
-            self.known.update(zip(new, self.values(new).tolist()))
-
-    def odds(self, text: str) -> float:
-        """Log odds of a text whose words learn() has seen."""
-        found = set(words(text))
-        if not found:
-            return self.bias
-        value = np.fromiter(map(self.known.__getitem__, found), np.float64, len(found))
-        share = np.exp(SHARP * (value - value.max()))
-        return float(share @ value / share.sum()) + self.bias
-
-    def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.odds(text), -60, 60))))
+            new = list(set().union(*cut))
+        found = dict(zip(new, self.sums(new)))
+        self.known.update((w, x) for w, x in found.items() if len(w) <= self.longest and len(self.known) < self.most)
+        out = np.full(len(texts), self.bias)
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        full = np.flatnonzero(lengths)
+        if len(full):
+            pairs = np.array([found[w] if w in found else self.known[w] for c in cut for w in c])
+            begin, end, count = windows(lengths[full])
+            out[full] += pooled(ranged(pairs[:, 0], begin, end) / ranged(pairs[:, 1], begin, end), count)[0]
+        return out
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.odds(texts), -60, 60)))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: tuple[int, int], most_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels for training: at most so many rows of label 0 and of label 1 with texts of up to most_chars, never of the held-out fold."""
+    """Whole texts and labels for training: at most so many rows of label 0 and of label 1, never of the held-out fold.
+
+    An id with several texts gives one of them, the one with the least hash. The texts are taken by a hash of the id, as
+    long as they have most_chars characters in all; one that would go beyond is passed over, long or short. The driver
+    gets no more than that.
+    """
     rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of("doc_id") % folds != fold))
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    picked = sampled(rows, ["doc_id"], "y", most)
-    texts = docs.select("doc_id", "text").where(F.length("text") <= most_chars)
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "y", "text").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    picked = F.broadcast(sampled(rows, ["doc_id"], "y", most))  # of a bounded number of rows
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL").join(picked, "doc_id")
+    found = written(found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    taken, left = [], most_chars
+    for i, n in found.select("doc_id", F.length("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if n <= left:
+            taken.append(i)
+            left -= n
+    got = found.where(F.col("doc_id").isin(taken)).toArrow().sort_by("doc_id")
+    spent(found)
     return got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.int64)
 
 
@@ -210,8 +253,7 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
         kept[np.flatnonzero(y == c)[::share]] = True
     per_bucket, bias = Model().fit([t for t, k in zip(texts, kept) if not k], y[~kept]).folded()
     scorer, own = Scorer(per_bucket, bias), [t for t, k in zip(texts, kept) if k]
-    scorer.learn(own)
-    odds = np.array([scorer.odds(t) for t in own])
+    odds = np.concatenate([scorer.odds(own[k : k + 100]) for k in range(0, len(own), 100)])
     order = np.argsort(odds)
     odds, toxic = odds[order], y[kept][order]
     cuts = np.concatenate([[odds[0] - 1], odds[:-1] + LOW * np.diff(odds), [odds[-1] + 1]])
@@ -221,14 +263,15 @@ def fitted(texts: list[str], y: np.ndarray, share: int = 6) -> tuple[np.ndarray,
     return per_bucket, bias - float(cuts[np.flatnonzero(cost <= cost.min() + 1e-9)].mean())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 40_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_toxic: int = 2000, most_chars: int = 24_000_000, threshold: float = 0.5, training: DataFrame | None = None, keep_columns: bool = False) -> DataFrame:
     """Score every whole text of docs (doc_id, text); learn from labels (doc_id, toxic) and the texts in training (else docs).
 
-    Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic rows, with
-    texts of up to most_chars; scoring has no bound. Every row gives one row: a null or empty text gets the score of no
-    evidence; a null id is scored, with held_out null; repeated rows stay. Other columns aren't read; keep_columns: all
-    columns of docs stay, with tox_score and tox_predicted as the last ones. With no labels, or of one class only, every text gets the
-    smoothed share of toxic labels.
+    Labels whose crc32(doc_id) mod 5 is 0 are held out. The fit takes at most most_clean and most_toxic whole texts of
+    most_chars characters in all; scoring has no bound: a very long text is read in windows to its end. Every row gives
+    one row: a null or empty text gets the score of no evidence; a null id is scored, with held_out null; repeated rows
+    stay and get equal scores; a score of exactly the threshold is toxic; an empty table gives no rows. Other columns
+    aren't read; keep_columns: all columns of docs stay, with tox_score and tox_predicted as the last ones. With no
+    labels, or of one class only, every text gets the smoothed share of toxic labels.
     """
     texts, y = training_rows(docs if training is None else training, labels, "toxic", 5, 0, (most_clean, most_toxic), most_chars)
     per_bucket, bias = fitted(texts, y)
@@ -245,8 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_to
         scorer = Scorer(per_bucket, bias)
         for batch in sliced(batches, text, 1 << 20):
             found = texts_of(batch.column(text))
-            scorer.learn(found)
-            score = np.array([scorer.score(t) for t in found], np.float64)
+            score = scorer.scores(found)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*first, *last])
 
     return rows.mapInArrow(rate, schema)

@@ -58,9 +58,47 @@ def test_unseen_misspelling():
     rows = labelled(600, "toxic")
     per_bucket, bias = fitted([t for _, t, _ in rows], np.array([y for *_, y in rows]))
     scorer = Scorer(per_bucket, bias)
-    texts = ["la lo idiotss re", "la lo re to"]
-    scorer.learn(texts)
-    assert scorer.score(texts[0]) > 0.5 > scorer.score(texts[1])
+    toxic, clean = scorer.scores(["la lo idiotss re", "la lo re to"])
+    assert toxic > 0.5 > clean
+
+
+def plain_odds(per_bucket, bias, text):
+    """Windows of words, each the weighted mean over its subwords' values, one after the other."""
+    w = text.lower().split()
+    found = []
+    for begin in range(0, max(len(w) - tox.WINDOW // 2, 1), tox.WINDOW // 2) if w else ():
+        total = bag = 0.0
+        for x in w[begin : begin + tox.WINDOW]:
+            bucket, _ = tox.bags([x])
+            z = per_bucket[bucket].astype(float)
+            total += z.sum()
+            bag += max((z != 0).sum() + tox.UNKNOWN * (z == 0).sum(), 1)
+        found.append(total / bag)
+    if not found:
+        return bias
+    share = np.exp(tox.SHARP * (np.array(found) - max(found)))
+    return float(share @ np.array(found) / share.sum()) + bias
+
+
+def test_odds_by_brute_force(odd_rows):
+    rng = np.random.default_rng(3)
+    per_bucket = np.where(rng.random(tox.BUCKETS) < 0.5, rng.normal(size=tox.BUCKETS), 0).astype(np.float32)
+    rows = random.Random(2)
+    texts = [t or "" for _, t in odd_rows if len(t or "") < 1000] + [text(rows, toxic=k % 2 == 0) for k in range(30)] + ["a " * k for k in (1, 4, 7, 8, 9, 11, 12, 13, 16, 17)] + ["x" * 5000 + " y"]
+    got = Scorer(per_bucket, 0.25, most_words=40).odds(texts)
+    assert np.allclose(got, [plain_odds(per_bucket, 0.25, t) for t in texts], atol=1e-6)
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(k, f"{k} " * (k + 1)) for k in range(40)] + [(7, "another text")] * 50
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    texts, y = tox.training_rows(frame(spark, rows), labels, "toxic", 5, 0, (1000, 1000), 10**6)
+    kept = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5]
+    assert len(texts) == len(y) == len(kept) and y.tolist() == [k % 2 for k in kept]
+    some, _ = tox.training_rows(frame(spark, rows), labels, "toxic", 5, 0, (4, 3), 10**6)
+    assert len(some) <= 7
+    few, _ = tox.training_rows(frame(spark, rows), labels, "toxic", 5, 0, (1000, 1000), 300)
+    assert few and sum(map(len, few)) <= 300
 
 
 def test_learning_ignores_held_out_labels(spark):
@@ -107,6 +145,31 @@ def test_quality_by_held_out_rows(spark, odd_rows):
     assert np.mean([g > b for g in good for b in bad]) > 0.97
 
 
+def plain_score(net, data):
+    """The network's forward pass, one place, chunk and filter after the other."""
+    from lattica.llm.quality_net import BLOCK, FILTERS, WIDTH
+
+    if not data:
+        return 1 / (1 + np.exp(-float(net.bias[0])))
+    padded = data + bytes(WIDTH)
+    response = np.array([sum(net.taps[k][padded[i + k]].astype(float) for k in range(WIDTH)) for i in range(len(data))])
+    blocks = -(-(len(data) + WIDTH - 1) // BLOCK)
+    chunks = []
+    for b in range(blocks):
+        part = response[b * BLOCK : (b + 2) * BLOCK]
+        chunks.append(np.maximum(part.max(0) + net.shift, 0) if len(part) else np.zeros(FILTERS))
+    feats = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+    return 1 / (1 + np.exp(-float(feats @ net.out + net.bias[0])))
+
+
+def test_net_by_brute_force():
+    rng = random.Random(4)
+    net = Net(seed=2)
+    net.shift[:] = np.random.default_rng(1).normal(0, 0.5, len(net.shift))
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 4, 5, 251, 252, 253, 255, 256, 257, 508, 512, 513, 1500, 40_000)]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
 def test_net_gradients_and_slicing():
     net = Net(seed=1)
     texts, y = [b"abcdefgh" * 100, b"zzz", b"hello world"], np.array([1, 0, 1])

@@ -49,7 +49,7 @@ def vector(text: Column) -> Column:
     lines = lambda t: F.split(null_as(t), "\n", -1)
     word = lambda sha, k: F.conv(F.substring(sha, 1 + 8 * k, 8), 16, 10).cast("long")
     hashed = lambda line: let(F.sha2(line.cast("binary"), 512), lambda sha: F.array(*(word(sha, k) for k in range(EXACT))))
-    exact = F.aggregate(F.transform(lines(text), hashed), F.array(*[F.lit(0).cast("long")] * EXACT), combined)
+    exact = F.aggregate(F.transform(lines(text), hashed), F.array(*[F.lit(0).cast("long")] * EXACT), lambda a, b: combined(a, b))
     return F.struct(exact.alias("exact"), _counted(F.flatten(F.transform(lines(text), _pairs))).alias("like"))
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 
 from lattica.llm import fingerprints as prints
 from lattica.llm.licenses import TEMPLATES, Tier, banded, licenses
@@ -44,46 +45,95 @@ def test_rules(spark, odd_rows):
     assert quality_rules(stay, keep_columns=True).where("rule_kept <> rule__kept").count() == 0
 
 
-@pytest.mark.parametrize("each", [1, 3, 1000])
-def test_fingerprints(spark, odd_rows, each, monkeypatch):
-    monkeypatch.setattr(prints.buckets, "__defaults__", (each,))
-    got = native(prints.fingerprints(frame(spark, odd_rows)))
-    rows = sorted((i, t or "") for i, t in odd_rows if i is not None)
+def plain_print(t):
+    """Lanes of a text by the definition: SHA-512 words of lines, and pairs of words by Spark's xxhash64, summed."""
+    exact, like = [0] * prints.EXACT, [0] * prints.LIKE
+    for line in t.split("\n"):
+        sha = hashlib.sha512(line.encode()).hexdigest()
+        exact = [(x + int(sha[8 * k : 8 * k + 8], 16)) % (1 << 32) for k, x in enumerate(exact)]
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", line) if x]
+        for pair in zip(w, w[1:]) if len(w) > 1 else [w] * len(w):
+            h = 42
+            for x in pair:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            like[(h >> 32) % prints.LIKE] += 1
+    return exact, [x % (1 << 16) for x in like]
+
+
+def lanes(print_):
+    """The like lanes of a fingerprint string."""
+    text = print_[8 * prints.EXACT :]
+    return [int(text[k : k + 4], 16) for k in range(0, len(text), 4)]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    n, m, size = sum(a), sum(b), len(a)
+    if not n or not m:
+        return 0.0
+    inner = sum(x * y for x, y in zip(a, b)) - n * m / size
+    length = sum(x * x for x in a + b) - (n * n + m * m) / size
+    return min(1.0, max(0.0, 2 * inner / length)) if length else 0.0
+
+
+@pytest.mark.parametrize("each,fine", [(1, 2), (3, 64), (1000, 64)])
+def test_fingerprints(spark, odd_rows, each, fine, monkeypatch):
+    monkeypatch.setattr(prints, "FINE", fine)
+    rng = random.Random(5)
+    rows = odd_rows + [(k, words(rng, rng.randrange(1, 30))) for k in (20, 21, 21, 23)] + [(None, "another one")]
+    got = native(prints.fingerprints(frame(spark, rows), each))
+    assert len(got) == len(rows)
+    h = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    known = sorted(((i, t or "") for i, t in rows if i is not None), key=lambda r: (r[0], h(r[1])))
+    pairs = [(i, t, known[(k + 1) % len(known)][1]) for k, (i, t) in enumerate(known)] + [(None, t, t) for i, t in rows if i is None]
     want = Counter()
-    for k, (i, t) in enumerate(rows):
-        other, half = rows[(k + 1) % len(rows)][1], len(t) // 2
-        want[i, len(t), hashlib.sha256((t[: len(t) - half] + other[:half]).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    by_text = {}
-    for r in got:
-        by_text.setdefault(dict(rows)[r.doc_id], set()).add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert all(len(x) == 1 for x in by_text.values()) and len(set().union(*by_text.values())) == len(by_text)
+    for i, t, other in pairs:
+        half = len(t) // 2
+        edited = t[: len(t) - half] + other[:half]
+        prints_ = [plain_print(x) for x in (t, edited, other)]
+        own, changed = ("".join(f"{x:08x}" for x in e) + "".join(f"{x:04x}" for x in v) for e, v in prints_[:2])
+        near = [round(plain_likeness(prints_[0][1], x[1]), 6) for x in prints_[1:]]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), own, changed, *near] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 6), round(r.near_next, 6)) for r in got) == want
+    assert all(abs(plain_likeness(lanes(r.fingerprint), lanes(r.edited_fingerprint)) - r.near_edited) < 1e-9 for r in got)
     assert prints.fingerprints(frame(spark, [])).collect() == []
-    alone = prints.fingerprints(frame(spark, [(5, "b\na"), ])).collect()[0]
+    alone = prints.fingerprints(frame(spark, [(5, "b\na")])).collect()[0]
     assert alone.near_next == 1
 
 
+def test_one_row_repeated_often(spark):
+    rows = [(1, "a b c")] + [(2, "d e\nf g")] * 50 + [(3, "h i j k")]
+    got = prints.fingerprints(frame(spark, rows), 10).collect()
+    edited = lambda t, o: hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest()
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == Counter({(1, edited("a b c", "d e\nf g")): 1, (2, edited("d e\nf g", "d e\nf g")): 49, (2, edited("d e\nf g", "h i j k")): 1, (3, edited("h i j k", "a b c")): 1})
+
+
 def test_fingerprints_are_multisets(spark):
     from pyspark.sql import functions as F
 
     texts = {0: "x y z\nb\nb", 1: "b\nx y z\nb", 2: "b\nb", 3: "x y z", 4: "b\nx y z"}
-    rows = prints.sketches(spark.createDataFrame(list(texts.items()), "k long, text string"), ["k"])
+    rows = spark.createDataFrame(list(texts.items()), "k long, text string").select("k", prints.vector(F.col("text")).alias("v")).select("k", "v.*")
     got = {r.k: r for r in rows.collect()}
-    assert got[0].exact == got[1].exact and got[0].exact != got[4].exact
-    pair = rows.where("k = 2").select(F.col("exact").alias("a")).crossJoin(rows.where("k = 3").select(F.col("exact").alias("b")))
-    both = pair.select(prints.combined(F.col("a"), F.col("b")).alias("s")).first().s
-    assert both == got[0].exact
-    back = spark.createDataFrame([(both, list(got[3].exact))], "a array<long>, b array<long>").select(prints.combined(F.col("a"), F.col("b"), -1).alias("s")).first().s
-    assert back == got[2].exact
+    assert got[0][1:] == got[1][1:] and got[0].exact != got[4].exact
+    for part, bits in (("exact", 32), ("like", 16)):
+        df = spark.createDataFrame([(got[2][part], got[3][part], got[0][part])], "a array<long>, b array<long>, c array<long>")
+        both, back = df.select(prints.combined(F.col("a"), F.col("b"), 1, bits), prints.combined(F.col("c"), F.col("b"), -1, bits)).first()
+        assert both == got[0][part] and back == got[2][part]
 
 
-def test_likeness_follows_shared_lines(spark):
+def test_likeness_is_near_that_of_the_multisets(spark):
     rng = random.Random(8)
-    lines = [words(rng, 12, 5000) for _ in range(40)]
-    rows = [(1, "\n".join(lines)), (2, "\n".join(words(rng, 12, 5000) for _ in range(40)))]
-    first = {r.doc_id: r for r in prints.fingerprints(frame(spark, rows)).collect()}[1]
-    assert 0.2 < first.near_edited < 0.8 and first.near_next < 0.4
+    rows = [(k, "\n".join(words(rng, 12, 5000) for _ in range(rng.randrange(1, 80)))) for k in range(60)]
+    pairs = lambda t: Counter(p for line in t.split("\n") for w in [line.split()] for p in zip(w, w[1:]))
+    errors = []
+    for r in prints.fingerprints(frame(spark, rows)).collect():
+        t, other = rows[r.doc_id][1], rows[(r.doc_id + 1) % 60][1]
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        for found, x in ((r.near_edited, edited), (r.near_next, other)):
+            a, b = pairs(t), pairs(x)
+            errors.append(abs(found - 2 * sum(n * b[p] for p, n in a.items()) / sum(n * n for c in (a, b) for n in c.values())))
+    assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.2
 
 
 def test_preferences(spark):

@@ -14,7 +14,6 @@ from itertools import count
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,13 +230,10 @@ class Dataset:
             return Value(at_depth(v, self.rows, dim, lambda a: s.array(a, v.type, **options)), v.dims, s.result(v.type), label)
         if PLACE not in self.df.columns:
             raise ValueError("a sequence function over rows: apply it with Dataset.Along")
-        place, descend = F.col(PLACE), options.get("descend", False)
         if e.kind == "pos":
-            column = place
-        elif e.kind == "cumsum":
-            column = F.sum(v.column).over(W.orderBy(PLACE).rowsBetween(W.unboundedPreceding, 0))
+            column = F.col(PLACE)
         else:
-            raise ValueError(f"{e.kind} over rows: use Sort, then Pos")
+            raise ValueError(f"{e.kind} over rows: use Dataset.Along, which no task gets all rows for")
         return Value(column.cast(s.result(v.type)), v.dims, s.result(v.type), label)
 
     def _cast(self, e: Expr) -> Value:
@@ -270,8 +266,11 @@ class Dataset:
             pick = lambda a: F.element_at(a, key + 1 if key >= 0 else key)
             return replace(v, column=at_depth(v, self.rows, dim, pick), dims=tuple(d for d in v.dims if d != dim))
         if isinstance(key, (list, tuple)):
-            gather = lambda a: F.transform(F.array(*map(F.lit, key)), lambda i: F.element_at(a, F.when(i >= 0, i + 1).otherwise(i)))
-            return replace(v, column=at_depth(v, self.rows, dim, gather), dims=tuple(f"f{d}" if d == dim else d for d in v.dims))
+            nested = any(isinstance(k, (list, tuple)) for k in key)
+            pick = lambda a, i: F.element_at(a, F.when(i >= 0, i + 1).otherwise(i))
+            one = lambda a, ks: F.transform(F.array(*map(F.lit, ks)), lambda i: pick(a, i))
+            gather = (lambda a: F.array(*(one(a, ks) for ks in key))) if nested else (lambda a: one(a, key))
+            return replace(v, column=at_depth(v, self.rows, dim, gather), dims=tuple(x for d in v.dims for x in ([f"g{d}"] * nested + [f"f{d}"] if d == dim else [d])))
         return self._kept(v, self.compile(key))
 
     def _kept(self, v: Value, condition: Value) -> Value:
@@ -457,7 +456,7 @@ class Dataset:
 
     # --- the rest of the operators are functions of their modules ---------------------------------------------------
 
-    def Filter(self, condition: Any, dim: str | None = None, mode: str = "dim") -> Dataset:
+    def Filter(self, condition: Any, dim: str | int | None = None, mode: str | None = None) -> Dataset:
         from lattica.operators.filters import filtered
 
         return filtered(self, condition, dim, mode)

@@ -6,23 +6,31 @@ from dataclasses import replace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lattica.expr import Expr
+from lattica.expr import Expr, Value, lifted
 
 if TYPE_CHECKING:
     from lattica.dataset import Dataset
 
 
-def filtered(ds: Dataset, condition: Any, dim: str | None = None, mode: str = "dim") -> Dataset:
+def filtered(ds: Dataset, condition: Any, dim: str | int | None = None, mode: str | None = None) -> Dataset:
     """A condition keeps what it holds for along its last dim; missing counts as false. Places select along `dim`.
 
-    dim None: the last dim that all slices share. Slices without the dim stay as they are.
+    dim: a name, or a place in the order of dims; None: the last dim that all slices share. Slices without the dim stay as
+    they are. Lists of places along an inner dim have two modes. "pos", the default: the list's last dim goes along the
+    dim above, so each place there gets a pick of its own, and a further level of lists becomes a dim in front. "dim":
+    every place above gets all of the list's picks. A place that isn't there is an error.
     """
+    if isinstance(dim, int):
+        dim = ds.AllDims[dim]
     if isinstance(condition, (int, slice, list, tuple)) and not isinstance(condition, bool):
         shared = [d for d in ds.slices[0].dims if all(d in s.dims for s in ds.slices)]
         dim = dim or shared[-1]
         if dim == ds.rows:
             return _rows(ds, condition)
+        if isinstance(condition, (list, tuple)) and mode in (None, "pos"):
+            return _each_place(ds, list(condition), dim)
         return ds.made([(s.name, _picked(ds, s, condition, dim), s.marks) for s in ds.slices])
     c = ds.compile(condition)
     along = c.dims[-1]
@@ -31,6 +39,51 @@ def filtered(ds: Dataset, condition: Any, dim: str | None = None, mode: str = "d
     return ds.made([(s.name, ds._kept(ds.value(s), c), s.marks) for s in ds.slices])
 
 
+def _depth(key: Any) -> int:
+    return 1 + max(map(_depth, key), default=0) if isinstance(key, (list, tuple)) else 0
+
+
+def _each_place(ds: Dataset, key: list, dim: str) -> Dataset:
+    """Picks along an inner dim, one for each place of the dim above it; of a list of lists all of them, along a new dim in front."""
+    if _depth(key) > 2:
+        raise ValueError("Filter: a list of places has one or two levels")
+    several = key if _depth(key) == 2 else [key]
+    above = next(s.dims[s.dims.index(dim) - 1] for s in ds.slices if dim in s.dims)
+    if above == ds.rows:
+        ds = ds.placed()
+        n = ds.df.count()
+        if any(len(k) != n for k in several):
+            raise ValueError(f"Filter: {[len(k) for k in several]} places for {n} rows")
+    out = []
+    for s in ds.slices:
+        v = ds.value(s)
+        if dim not in v.dims:
+            out.append((s.name, v, s.marks))
+            continue
+        cut = v.dims.index(dim)
+        packed = replace(v, dims=v.dims[:cut], type=T.ArrayType(v.type))
+        picks = []
+        for own in several:
+            place = F.array(*(F.lit(int(i)) for i in own))
+            at = Value(F.get(place, F.col("__pos")), (ds.rows,), T.LongType()) if above == ds.rows else Value(place, (above,), T.LongType())
+            picks.append(lifted([packed, at], ds.rows, _pick))
+        if _depth(key) == 1:
+            out.append((s.name, replace(v, column=picks[0][0], dims=picks[0][1] + v.dims[cut + 1 :]), s.marks))
+        else:
+            column = F.array(*(c for c, _ in picks))
+            if len(picks[0][1]) > 1:
+                raise ValueError("Filter: a list of lists needs the dim above to be the row dim")
+            out.append((s.name, replace(v, column=column, dims=(*picks[0][1], f"f{dim}", *v.dims[cut + 1 :])), s.marks))
+    made = ds.made(out)
+    return made.Transpose() if _depth(key) == 2 else made
+
+
+def _pick(a: Any, i: Any) -> Any:
+    """One element by its place, from behind where that is negative."""
+    known = F.when(i.isNull(), F.raise_error(F.lit("Filter: fewer places than there are arrays"))).otherwise(i)
+    return F.element_at(a, F.when(known >= 0, known + 1).otherwise(known).cast("int"))
+
+
 def _picked(ds: Dataset, s: Any, key: Any, dim: str) -> Any:
     v = ds.value(s)
     if dim not in v.dims:
@@ -61,10 +114,16 @@ def _rows(ds: Dataset, key: Any) -> Dataset:
         stop = stop + n if stop is not None and stop < 0 else stop
         kept = (place >= start) & ((place - start) % step == 0)
         return ds._with(df=ds.df.where(kept if stop is None else kept & (place < stop)))
+    n = ds.df.count()
+    for k in key if isinstance(key, (list, tuple)) else [key]:
+        if not isinstance(k, int):
+            raise TypeError("rows by place: a number, a list of numbers or a window")
+        if not -n <= k < n:
+            raise IndexError(f"place {k} of {n} rows")
     if isinstance(key, int):
-        key_ = key if key >= 0 else ds.df.count() + key
-        df = ds.df.where(place == key_)
+        df = ds.df.where(place == (key if key >= 0 else n + key))
         return ds._with(df=df, slices=[replace(s, dims=tuple(d for d in s.dims if d != ds.rows)) for s in ds.slices], rows=None)
+    key = [k if k >= 0 else n + k for k in key]
     wanted = ds.df.sparkSession.createDataFrame([(k, p) for k, p in enumerate(key)], "__k long, __p long")
     df = ds.df.withColumnRenamed("__pos", "__was").join(F.broadcast(wanted), F.col("__was") == F.col("__p")).drop("__was", "__p")  # a literal list
     new = f"f{ds.rows}"

@@ -21,8 +21,12 @@ def test_filters_along_dims(x):
     assert x.Filter(0, dim="d1").ToPython() == [[1, 2, 3]]
     assert x.Filter(_.data > 2).ToPython() == [[3], [4, 5, 6]]
     assert x.Filter(slice(0, 2)).ToPython() == [[1, 2], [4, 5]]
-    assert x.Filter([0, 1]).ToPython() == [[1, 2], [4, 5]]
-    assert x.Filter([0, 2, 1]).ToPython() == [[1, 3, 2], [4, 6, 5]]
+    assert x.Filter([0, 1]).ToPython() == [1, 5]
+    assert x.Filter([0, 1], mode="dim").ToPython() == [[1, 2], [4, 5]]
+    assert x.Filter([[0, 1], [0, 2]]).ToPython() == [[1, 5], [1, 6]]
+    assert x.Filter([[0, 1], [0, 2, 1]], mode="dim").ToPython() == [[[1, 2], [1, 3, 2]], [[4, 5], [4, 6, 5]]]
+    assert x.Filter([-1, 0], mode="dim").ToPython() == [[3, 1], [6, 4]]
+    assert x.Filter(0, dim=0).ToPython() == [[1, 2, 3]]
     assert x[1:].ToPython() == [[4, 5, 6]]
     assert x[..., 1].ToPython() == [2, 5]
     assert x[0].ToPython() == [[1, 2, 3]]
@@ -34,6 +38,42 @@ def test_out_of_range_is_an_error(x):
         x.Filter(7).ToPython()
 
 
+def test_rows_that_are_not_there(x, spark):
+    y = rep(spark, [1, 2, 3])
+    assert y[[0, -1]].ToPython() == [1, 3]
+    for key in ([0, 3], [-4], 7, -4):
+        with pytest.raises(IndexError):
+            y[key]
+    with pytest.raises(ValueError, match="places for 2 rows"):
+        x.Filter([0, 1, 2])
+
+
+def test_combine_checks_numbers_of_rows(spark):
+    two, three = rep(spark, [1, 2]).Rename("a"), rep(spark, [1, 2, 3]).Rename("b")
+    assert [tuple(r.values()) for r in two.Combine(rep(spark, [5, 6]).Rename("b")).ToPython()] == [(1, 5), (2, 6)]
+    for left, right in ((two, three), (three, two)):
+        with pytest.raises(Exception, match="different numbers of rows"):
+            left.Combine(right).ToPython()
+
+
+def test_match_of_arrays(spark):
+    x, y = rep(spark, [[1, 2], [1, 2, 3]]), rep(spark, [[2, 3, 4], [1, 3, 4]])
+    assert x.Match(y, "data").ToPython() == [[[2], [1]], [[2, 3], [1, 3]]]
+    assert x.Match(y, "data").Dims == {"data": ("d1", "d1b", "data_data")}
+    assert x.Match(y, "data", mode="pos").ToPython() == [[2], [1, 3]]
+    full = x.Match(y, "data", jointype="full", mode="pos")
+    assert [list(r.values()) for r in full.ToPython()] == [[[1, 2, None, None], [None, 2, 3, 4]], [[1, 2, 3, None], [1, None, 3, 4]]]
+    assert x.Match(y, "data", jointype="left", mode="pos", merge_same="equi").ToPython() == [[1, 2], [1, 2, 3]]
+    assert x.Match(y, "data", jointype="right", mode="pos", merge_same="equi").ToPython() == [[2, 3, 4], [1, 3, 4]]
+    with pytest.raises(Exception, match="different numbers of rows"):
+        x.Match(rep(spark, [[1]]), "data", mode="pos").ToPython()
+    with pytest.raises(ValueError, match="inner dim of both"):
+        x.Match(rep(spark, [1, 2]), "data")
+    p, q = rep(spark, [([1, 2], ["a", "b"], "p"), ([3], ["c"], "q")]), rep(spark, [([2, 3], [20, 30], 7)]).Rename("f0", "g", "h")
+    both = p._with(slices=[s if k != 1 else s.__class__(s.name, s.column, ("d1", "f0")) for k, s in enumerate(p.slices)]).Match(q._with(slices=[s if k != 1 else s.__class__(s.name, s.column, ("d1", "f0")) for k, s in enumerate(q.slices)]), "f0")
+    assert both.ToPython() == [{"f0": [[2]], "f1": [["b"]], "f2": "p", "g": [[20]], "h": [7]}, {"f0": [[3]], "f1": [["c"]], "f2": "q", "g": [[30]], "h": [7]}]
+
+
 def test_flat_split_transpose(x, spark):
     assert x.Flat().ToPython() == [1, 2, 3, 4, 5, 6]
     both = x.AddSlice("s", "a").FlatAll()

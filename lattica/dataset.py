@@ -417,7 +417,30 @@ class Dataset:
         v = self._struct([self.value(s) for s in self.slices])
         return self.made([(name, v, frozenset())])
 
-    Dict = Tuple
+    def Dict(self, name: str = "data", with_missing: bool = False) -> Dataset:
+        """All slices as one dictionary from their names; missing values have no entry, unless with_missing."""
+        values = [self.value(s) for s in self.slices]
+        t = reduce(common_type, (v.type for v in values))
+
+        def body(*columns: Column) -> Column:
+            entries = F.array(*(F.struct(F.lit(n).alias("k"), x.cast(t).alias("v")) for n, x in zip(self.Names, columns)))
+            return F.map_from_entries(entries if with_missing else F.filter(entries, lambda e: e["v"].isNotNull()))
+
+        column, dims = lifted(values, self.rows, body)
+        return self.made([(name, Value(column, dims, T.MapType(T.StringType(), t)), frozenset())])
+
+    def Each(self, function: Callable, dtype: str, per_slice: bool = False, name: str = "result") -> Dataset:
+        """A Python function of all slices' elements at a place, or of each slice's: packed arrays are elements, so after Array() it takes a whole dim."""
+        if per_slice:
+            return self.made([(s.name, self.compile(Expr("each", (Expr("value", (self.value(s),)), function), {"dtype": dtype})), s.marks) for s in self.slices])
+        first, *rest = (Expr("value", (self.value(s),)) for s in self.slices)
+        return self.made([(name, self.compile(Expr("each", (first, *rest, function), {"dtype": dtype})), frozenset())])
+
+    def Corr(self, name: str) -> DataFrame:
+        """i, j, r: Pearson's correlations over rows of all pairs of places of an array slice."""
+        from lattica.operators.correlation import correlations
+
+        return correlations(self.df, self.slice(name).column)
 
     def Fields(self) -> Dataset:
         """Records as one slice for each field."""

@@ -57,11 +57,18 @@ def _std(a: Column) -> Column:
     return F.sqrt(F.try_divide(F.aggregate(_known(a), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(_known(a))))
 
 
+def _firsts(pairs: Column) -> Column:
+    """Of records (x, i) the least i of each value, in the order of values."""
+    ordered = F.array_sort(pairs)
+    new = lambda s: F.filter(s, lambda e, k: (k == 0) | (F.get(s, F.greatest(k - 1, F.lit(0)))["x"] != e["x"]))
+    once = F.get(F.transform(F.array(ordered), new), F.lit(0))
+    return F.transform(once, lambda e: e["i"].cast("long"))
+
+
 def _numbered(a: Column) -> Column:
     return F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), (-i).cast("long").alias("i"))), lambda s: s["x"].isNotNull())
 
 
-
 REDUCTIONS: dict[str, Reduction] = {
     "sum": Reduction(lambda x, p: F.coalesce(F.sum(x), F.lit(0)), _total, _sum_type),
     "prod": Reduction(lambda x, p: F.coalesce(F.product(x), F.lit(1.0)), lambda a, t: F.aggregate(_known(a), F.lit(1).cast(_sum_type(t)), lambda s, x: (s * x).cast(_sum_type(t))), _sum_type),
@@ -75,6 +82,8 @@ REDUCTIONS: dict[str, Reduction] = {
     "argmax": Reduction(lambda x, p: F.max_by(p, F.struct(x.isNotNull(), x, -p)), lambda a, t: -F.array_max(_numbered(a))["i"], lambda t: LONG, True),
     "argmin": Reduction(lambda x, p: F.min_by(p, F.struct(x.isNull(), x, p)), lambda a, t: F.array_min(F.transform(_numbered(a), lambda s: F.struct(s["x"], (-s["i"]).alias("i"))))["i"], lambda t: LONG, True),
     "first": Reduction(lambda x, p: F.min_by(x, p), lambda a, t: F.get(a, F.lit(0)), lambda t: t, True),
+    "argunique": Reduction(lambda x, p: _firsts(F.collect_list(F.when(x.isNotNull(), F.struct(x.alias("x"), p.alias("i"))))), lambda a, t: _firsts(F.filter(F.transform(a, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].isNotNull())), lambda t: T.ArrayType(LONG), True),
+    "places": Reduction(lambda x, p: F.sort_array(F.collect_list(p)), lambda a, t: F.transform(a, lambda x, i: i.cast("long")), lambda t: T.ArrayType(LONG), True),
     "count": Reduction(lambda x, p: F.count(F.lit(1)), lambda a, t: F.coalesce(F.size(a), F.lit(0)).cast("long"), lambda t: LONG),
     "count_distinct": Reduction(lambda x, p: F.count_distinct(x), lambda a, t: F.size(F.array_distinct(a)).cast("long"), lambda t: LONG),
     "set": Reduction(lambda x, p: F.concat(F.sort_array(F.collect_set(x)), F.when(F.count_if(x.isNull()) > 0, F.array(F.max(F.when(F.lit(False), x)))).otherwise(F.slice(F.sort_array(F.collect_set(x)), 1, 0))), lambda a, t: F.array_distinct(a), T.ArrayType),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.expr import Value
+from lattica.operators.groups import order_of
 
 if TYPE_CHECKING:
     from lattica.dataset import Dataset
@@ -17,8 +18,7 @@ def _table(source: Dataset, key: str | int, *values: str | int) -> DataFrame:
     """__key and __v0 …, each key once: of equal keys the last row by place, or the greatest where rows have no order."""
     columns = [F.col(f"`{source.slice(v).column}`").alias(f"__v{k}") for k, v in enumerate(values)]
     if source.order_by:
-        source = source.placed()
-        last = F.max_by(F.struct(*columns), F.col("__pos"))
+        last = F.max_by(F.struct(*columns), order_of(source))
     else:
         last = F.max(F.struct(*columns))
     return source.df.groupBy(F.col(f"`{source.slice(key).column}`").alias("__key")).agg(last.alias("__found")).select("__key", "__found.*")
@@ -63,13 +63,24 @@ def Replace(self: Dataset, name: str, translator: Dataset, from_: str, to: str)
 
 
 def IndexDict(self: Dataset, name: str = "data") -> Dataset:
-    """The first two slices as a dictionary along their last shared inner dim; of equal keys the last wins."""
+    """The first two slices as a dictionary along their last shared dim; of equal keys the last wins. Along rows: one dictionary of all."""
     from pyspark.sql import types as T
 
     key, value = (self.value(s) for s in self.slices[:2])
-    entries = F.zip_with(key.column, value.column, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda x: x["k"] == e["k"]))
-    made = F.map_from_entries(last)
+    if key.dims == (self.rows,):
+        from lattica.dataset import Dataset, Slice
+
+        last = _table(self, 0, 1).where(F.col("__key").isNotNull())
+        one = last.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("__key", "__v0")))).alias("c0"))
+        return Dataset(one, [Slice(name, "c0", ())], None)
+
+    def latest(entries: Any) -> Any:
+        """Sorted by key and place, the last of each key: no entry is held against all others."""
+        ordered = F.array_sort(F.filter(F.transform(entries, lambda e, i: F.struct(e["k"].alias("k"), i.alias("i"), e["v"].alias("v"))), lambda e: e["k"].isNotNull()))
+        ends = lambda s: F.filter(s, lambda e, j: F.coalesce(F.get(s, j + 1)["k"] != e["k"], F.lit(True)))
+        return F.transform(F.get(F.transform(F.array(ordered), ends), F.lit(0)), lambda e: F.struct(e["k"], e["v"]))
+
+    made = F.map_from_entries(latest(F.zip_with(key.column, value.column, lambda k, v: F.struct(k.alias("k"), v.alias("v")))))
     return self.made([(name, Value(made, key.dims[:-1], T.MapType(key.type, value.type)), frozenset())])
 
 

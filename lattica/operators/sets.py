@@ -14,8 +14,13 @@ if TYPE_CHECKING:
     from lattica.dataset import Dataset
 
 
-def _aligned(sources: tuple[Dataset, ...], by: str, missing: bool = False) -> tuple[list[DataFrame], list[str]]:
-    """Frames with the same columns in common types: by place, or by name (missing: absent ones become null)."""
+def _aligned(sources: tuple[Dataset, ...], by: str, missing: bool = False, slices: tuple | None = None) -> tuple[list[DataFrame], list[str]]:
+    """Frames with the same columns in common types: by place, or by name (missing: absent ones become null).
+
+    slices: for each source the name, or names, of the slices to take; they go together by place.
+    """
+    if slices is not None:
+        sources, by = tuple(s.Get(*([names] if isinstance(names, str) else names)) for s, names in zip(sources, slices, strict=True)), "pos"
     frames = [s.toDF() for s in sources]
     if by == "pos":
         if len({len(f.columns) for f in frames}) > 1:
@@ -42,24 +47,24 @@ def _made(self: Dataset, df: DataFrame, names: list[str], rows: str) -> Dataset:
     return Dataset.of(df, rows, unpack=False)
 
 
-def Union(self: Dataset, *others: Dataset, by: str = "pos") -> Dataset:
-    frames, names = _aligned((self, *others), by)
+def Union(self: Dataset, *others: Dataset, by: str = "pos", slices: tuple | None = None) -> Dataset:
+    frames, names = _aligned((self, *others), by, slices=slices)
     return _made(self, reduce(DataFrame.union, frames).distinct(), names, "s" + str(self.rows))
 
 
-def Intersect(self: Dataset, *others: Dataset, by: str = "pos") -> Dataset:
-    frames, names = _aligned((self, *others), by)
+def Intersect(self: Dataset, *others: Dataset, by: str = "pos", slices: tuple | None = None) -> Dataset:
+    frames, names = _aligned((self, *others), by, slices=slices)
     return _made(self, reduce(DataFrame.intersect, frames), names, "s" + str(self.rows))
 
 
-def Except(self: Dataset, *others: Dataset, by: str = "pos") -> Dataset:
-    frames, names = _aligned((self, *others), by)
+def Except(self: Dataset, *others: Dataset, by: str = "pos", slices: tuple | None = None) -> Dataset:
+    frames, names = _aligned((self, *others), by, slices=slices)
     return _made(self, reduce(DataFrame.subtract, frames), names, "s" + str(self.rows))
 
 
-def Difference(self: Dataset, other: Dataset, by: str = "pos") -> Dataset:
+def Difference(self: Dataset, other: Dataset, by: str = "pos", slices: tuple | None = None) -> Dataset:
     """What exactly one of both has: rows are marked by side and grouped once."""
-    (a, b), names = _aligned((self, other), by)
+    (a, b), names = _aligned((self, other), by, slices=slices)
     both = a.select("*", F.lit(0).alias("__side")).union(b.select("*", F.lit(1).alias("__side")))
     return _made(self, both.groupBy(*names).agg(F.min("__side").alias("x"), F.max("__side").alias("y")).where("x = y").select(*names), names, "s" + str(self.rows))
 

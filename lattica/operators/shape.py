@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,10 @@ def Elems(self: Dataset, name: str | None = None) -> Dataset:
     return self.made(out)
 
 
-def Array(self: Dataset) -> Dataset:
-    """The last dim becomes part of the elements; of the row dim alone: one row with all of it, in row order."""
+def Array(self: Dataset, tolevel: int | None = None) -> Dataset:
+    """The last dim becomes part of the elements; of the row dim alone: one row with all of it, in row order. tolevel: dims deeper than that do."""
+    if tolevel is not None:
+        return Level(self, tolevel) if tolevel else Array(Level(self, 1))
     if all(len(s.dims) > 1 for s in self.slices):
         return self.made([(s.name, self._packed(self.value(s)), s.marks) for s in self.slices])
     ds = self.placed()
@@ -73,8 +76,21 @@ def FlatAll(self: Dataset, name: str = "flat") -> Dataset:
     return ds._with(rows=name, slices=[replace(s, dims=(name,)) for s in ds.slices])
 
 
-def SplitDim(self: Dataset, left: int, right: int, lname: str = "split1", rname: str = "split2") -> Dataset:
-    """The row dim as left times right: rows of `right` places each. A row number that doesn't fit is an error."""
+def SplitDim(self: Dataset, left: int, right: int, lname: str = "split1", rname: str = "split2", dim: str | None = None) -> Dataset:
+    """The row dim, or an inner one, as left times right: `right` places each. A length that doesn't fit is an error."""
+    if dim not in (None, self.rows):
+
+        def cut(a: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), F.lit(left - 1)), lambda j: F.slice(a, j * right + 1, F.lit(right)))
+            return F.when(F.size(a) == left * right, parts).otherwise(F.raise_error(F.lit("SplitDim: sizes don't fit")))
+
+        out = []
+        for s in self.slices:
+            v = self.value(s)
+            if dim in v.dims:
+                v = replace(v, column=at_depth(v, self.rows, dim, cut), dims=tuple(x for d in v.dims for x in ((lname, rname) if d == dim else (d,))))
+            out.append((s.name, v, s.marks))
+        return self.made(out)
     ds = self.placed()
     from lattica.dataset import Dataset, Slice
 
@@ -85,8 +101,34 @@ def SplitDim(self: Dataset, left: int, right: int, lname: str = "split1", rname:
     return Dataset(df.select("__pos", *(fields("__rows", f"v{k}").alias(f"c{k}") for k in range(len(ds.slices)))), [Slice(s.name, f"c{k}", (lname, rname, *s.dims[1:]), s.marks) for k, s in enumerate(ds.slices)], lname, ["__pos"])
 
 
-def Transpose(self: Dataset) -> Dataset:
-    """The row dim and the first inner dim of all slices exchanged, through one row for each element."""
+def _flipped(self: Dataset, k: int) -> Dataset:
+    """Two inner dims that follow each other exchanged; the arrays of the second must be as long in all places of the first."""
+    out = []
+    for s in self.slices:
+        v = self.value(s)
+        flip = lambda a: F.transform(F.sequence(F.lit(0), F.size(F.get(a, F.lit(0))) - 1), lambda j: F.transform(a, lambda r: F.get(r, j)))
+        column = at_depth(v, self.rows, v.dims[k], lambda a: F.when(F.size(a) > 0, flip(a)).otherwise(a))
+        out.append((s.name, replace(v, column=column, dims=(*v.dims[:k], v.dims[k + 1], v.dims[k], *v.dims[k + 2 :])), s.marks))
+    return self.made(out)
+
+
+def Transpose(self: Dataset, order: list[int] | tuple[int, ...] | None = None) -> Dataset:
+    """The row dim and the first inner dim of all slices exchanged, through one row for each element.
+
+    order: the places of the dims that come first, second and so on; other dims follow. Neighbours are exchanged until
+    that order is there.
+    """
+    if order is not None:
+        dims = self.slices[0].dims
+        if any(s.dims != dims for s in self.slices):
+            raise ValueError("Transpose: all slices need the same dims")
+        now, want = list(range(len(dims))), [*order, *(k for k in range(len(dims)) if k not in order)]
+        ds = self
+        for to, d in enumerate(want):
+            for k in range(now.index(d), to, -1):
+                ds = Transpose(ds) if k == 1 else _flipped(ds, k - 1)
+                now[k - 1], now[k] = now[k], now[k - 1]
+        return ds
     ds = self.placed()
     from lattica.dataset import Dataset, Slice
 
@@ -147,11 +189,12 @@ def Promote(self: Dataset, name: str, like: str) -> Dataset:
 
 
 def Shape(self: Dataset) -> Dataset:
-    """One slice for each inner dim: its length, for each place of the dims above it."""
+    """One slice for each dim: its length, for each place of the dims above it. Rows are counted at once."""
     out = []
     for dim in self.AllDims:
         s = next(x for x in self.slices if dim in x.dims)
         if dim == self.rows:
+            out.append((dim, Value(F.lit(self.df.count()).cast("long"), (), T.LongType()), frozenset()))
             continue
         v = self.value(s)
         v = replace(v, dims=v.dims[: v.dims.index(dim) + 1])

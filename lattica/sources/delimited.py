@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,21 +89,37 @@ def read_tsv(spark: SparkSession, path: str, dialect: Dialect | None = None, fie
     """A table of text columns whose dialect is sniffed from its first lines. fieldnames: names, or whether the first line has them."""
     lines = [r[0] for r in spark.read.text(path).limit(LOOK + skiprows).collect()][skiprows:]
     d = dialect or sniff(lines)
-    names = fieldnames if isinstance(fieldnames, list) else d.header if fieldnames is None or fieldnames is True else None
-    header = names is not None and not isinstance(fieldnames, list) or fieldnames is True
+    if fieldnames is True and not d.header:  # the caller knows better than the sniffer
+        body = [x for x in lines if x.strip() and not (d.comment and x.startswith(d.comment))]
+        head = next(csv.reader(body[:1], delimiter=d.delimiter, **({"quotechar": d.quote} if d.quote else {"quoting": csv.QUOTE_NONE})), None)
+        d = replace(d, header=head)
+    header = not isinstance(fieldnames, list) and fieldnames is not False
+    names = fieldnames if isinstance(fieldnames, list) else d.header if header else None
     fields = clean_names(names) if names else [f"f{k}" for k in range(d.width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in fields])
     reader = spark.read.schema(schema).option("sep", d.delimiter).option("header", False).option("ignoreLeadingWhiteSpace", False).option("nullValue", "\0").option("emptyValue", "")
     reader = reader.option("quote", d.quote or "\0").option("escape", d.quote or "\\")
     if d.comment:
         reader = reader.option("comment", d.comment)
-    if skiprows:
-        raise ValueError("skiprows needs a file without leading lines: give comment signs instead") if not d.comment else None
-    df = reader.csv(path)
-    if header and d.header:
-        first = d.header
-        df = df.where(~F.coalesce(F.array(*(F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in fields[: len(first)])) == F.array(*map(F.lit, first)), F.lit(False)))
-    return Dataset.of(df, rows)
+    has_header = bool(header and d.header)
+    if not skiprows:
+        return Dataset.of(reader.option("header", has_header).csv(path), rows)  # each file's first line, whatever is in others
+    kept = _after(spark, path, skiprows, has_header, d.comment).where(F.length("value") > 0)
+    options = {"sep": d.delimiter, "nullValue": "\0", "emptyValue": "", "quote": d.quote or "\0", "escape": d.quote or "\\"}
+    return Dataset.of(kept.select(F.from_csv("value", ", ".join(f"`{n}` STRING" for n in fields), options).alias("r")).select("r.*"), rows)
+
+
+def _after(spark: SparkSession, path: str, skip: int, header: bool, comment: str | None) -> DataFrame:
+    """The lines of each file after its first `skip` ones and, with a header, the next one; comments left out. A line break ends a line, also within quotes."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("id"))
+    starts = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min("id").alias("start"))  # one row a file
+    placed = lines.join(F.broadcast(starts), "file_path").where((F.col("file_block_start") > 0) | (F.col("id") >= F.col("start") + skip))
+    if comment:
+        placed = placed.where(~F.col("value").startswith(comment))
+    if header:
+        heads = placed.where("file_block_start = 0").groupBy("file_path").agg(F.min("id").alias("head"))
+        placed = placed.join(F.broadcast(heads), "file_path", "left").where(F.col("head").isNull() | (F.col("id") != F.col("head")))
+    return placed.select("value")
 
 
 def read_plain(spark: SparkSession, path: str, rows: str = "rows") -> Dataset:
@@ -117,8 +133,7 @@ def read_matrix(spark: SparkSession, path: str, row_headers: int = 1, delimiter:
     first = spark.read.text(path).first()
     names = first[0].split(delimiter) if first else []
     schema = T.StructType([T.StructField(f"f{k}", T.StringType()) for k in range(len(names))])
-    df = spark.read.schema(schema).option("sep", delimiter).option("quote", "\0").csv(path)
-    df = df.where(F.array(*(F.coalesce(F.col(f"f{k}"), F.lit("")) for k in range(len(names)))) != F.array(*map(F.lit, names)))
+    df = spark.read.schema(schema).option("sep", delimiter).option("quote", "\0").option("header", True).csv(path)  # of each file the first line
     heads = clean_names([n or f"row{k}" for k, n in enumerate(names[:row_headers])])
     out = df.select(*(F.col(f"f{k}").alias(h) for k, h in enumerate(heads)), F.array(*map(F.lit, names[row_headers:])).alias("cols"), F.array(*(F.col(f"f{k}").try_cast(kind) for k in range(row_headers, len(names)))).alias("matrix"))
     return Dataset(out, [*(Slice(h, h, ("rows",)) for h in heads), Slice("cols", "cols", ("cols",)), Slice("matrix", "matrix", ("rows", "cols"))], "rows", heads)

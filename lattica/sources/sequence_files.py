@@ -14,7 +14,8 @@ HEADER_CUTS = ["\t", "|", ", ", ","]
 
 def read_fasta(spark: SparkSession, path: str, sep: str | None = "auto") -> Dataset:
     """One row a record: header fields f0, f1 … cut by sep (auto: the first of tab, bar, comma that occurs), and seq."""
-    text = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
+    # A record begins with > at the start of a line; in a header > is like other characters.
+    text = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.length(F.trim("value")) > 0)
     head, seq = F.split("value", "\n", 2)[0], F.regexp_replace(F.get(F.split("value", "\n", 2), F.lit(1)), r"\s+", "")
     rows = text.select(F.trim(head).alias("head"), F.coalesce(seq, F.lit("")).alias("seq"))
     if sep == "auto":
@@ -43,7 +44,7 @@ def read_fastq(spark: SparkSession, path: str) -> Dataset:
     lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"))
     placed = positions(lines, ["file", "id"], "line")
     rows = placed.groupBy(F.floor(F.col("line") / 4).alias("record")).agg(*(F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(n) for k, n in ((0, "h"), (1, "sequence"), (3, "quality"))))
-    return Dataset.of(rows.where("sequence IS NOT NULL").select(F.substring("h", 2, 1_000_000).alias("sequenceid"), "sequence", "quality"), "reads")
+    return Dataset.of(rows.where("sequence IS NOT NULL").select(F.expr("substring(h, 2)").alias("sequenceid"), "sequence", "quality"), "reads")
 
 
 def read_sam(spark: SparkSession, path: str) -> Dataset:

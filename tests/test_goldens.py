@@ -92,7 +92,7 @@ def test_harray_and_shape(spark, x):
     h = rep(spark, [(1, 2), (3, 4), (5, 6)]).HArray()
     assert [r["data"] for r in h.ToPython()] == [[1, 2], [3, 4], [5, 6]]
     assert h.ToPython()[0]["names"] == ["f0", "f1"]
-    assert x.Shape().ToPython() == [3, 3]
+    assert x.Shape().ToPython() == [{"d1": 2, "data": 3}, {"d1": 2, "data": 3}]
 
 
 def test_groups(g):
@@ -104,6 +104,46 @@ def test_groups(g):
     assert len(grid) == 8 and all(r["n"] == 1 for r in grid)
 
 
+def test_grid_of_arrays(g):
+    grid = g.GroupBy("f0", "f1").GridArrays()
+    assert grid.Dims == {"f0": ("gf0",), "f1": ("gf1",), "f2": ("gf0", "gf1", "gd1")}
+    assert [tuple(r.values()) for r in grid.ToPython()] == [(1, [1, 2], [[1], [2]]), (2, [1, 2], [[3], [4]]), (3, [1, 2], [[1], [2]]), (4, [1, 2], [[3], [4]])]
+    copied = g.Get("f0", "f1", "f2", f3=_.f1).GroupBy("f0", "f1").GridArrays({("f0", "f1"): "f2", "f1": "f3"})
+    assert copied.Dims == {"f0": ("gf0",), "f1": ("gf1",), "f2": ("gf0", "gf1"), "f3": ("gf1",)}
+    assert [tuple(r.values()) for r in copied.ToPython()] == [(k, [1, 2], v, [1, 2]) for k, v in ((1, [1, 2]), (2, [3, 4]), (3, [1, 2]), (4, [3, 4]))]
+    assert g.GroupBy("f1").Index().ToPython() == [{"f1": 1, "index": [0, 2, 4, 6]}, {"f1": 2, "index": [1, 3, 5, 7]}]
+    assert sorted(g.Get("f1").GroupIndex().ToPython()) == [[0, 2, 4, 6], [1, 3, 5, 7]]
+    assert sorted(g.GroupBy("f0").Get(u=_.f2.Argunique()).ToPython()) == [[0, 1], [2, 3], [4, 5], [6, 7]]
+
+
+def test_arrays_dicts_and_each(spark, x):
+    assert rep(spark, [[3, 1, 3, None, 1]]).Get(u=_.data.Argunique()).ToPython() == [[1, 0]]
+    assert x.Array(1).Each(sum, dtype="int64").ToPython() == [6, 15]
+    assert rep(spark, [4, 5, 6]).Array().Each(sum, dtype="int64").ToPython() == [15]
+    two = rep(spark, [(1, 2), (3, None)])
+    assert two.Each(lambda a, b: (a or 0) + (b or 0), dtype="int64").ToPython() == [3, 3]
+    assert two.Each(lambda a: (a or 0) * 2, dtype="int64", per_slice=True).ToPython() == [{"f0": 2, "f1": 4}, {"f0": 6, "f1": 0}]
+    assert two.Dict().ToPython() == [{"f0": 1, "f1": 2}, {"f0": 3}]
+    assert two.Dict(with_missing=True).ToPython() == [{"f0": 1, "f1": 2}, {"f0": 3, "f1": None}]
+    assert rep(spark, [("a", 1), ("b", 2), ("a", 3)]).IndexDict().ToPython() == [{"a": 3, "b": 2}]
+    cube = rep(spark, [[[1, 2], [3, 4]], [[5, 6], [7, 8]]])
+    assert cube.Transpose([0, 2, 1]).ToPython() == [[[1, 3], [2, 4]], [[5, 7], [6, 8]]]
+    assert cube.Transpose([2, 0, 1]).ToPython() == [[[1, 3], [5, 7]], [[2, 4], [6, 8]]]
+    assert cube.Transpose([2, 0, 1]).Transpose([1, 2, 0]).ToPython() == cube.ToPython()
+    assert rep(spark, [[1, 2, 3, 4, 5, 6]]).SplitDim(2, 3, dim="data").ToPython() == [[[1, 2, 3], [4, 5, 6]]]
+    with pytest.raises(Exception, match="SplitDim"):
+        rep(spark, [[1, 2, 3]]).SplitDim(2, 2, dim="data").ToPython()
+    a, b = rep(spark, [(1, "x"), (2, "y")]), rep(spark, [("y", 2), ("z", 3)])
+    assert sorted(a.Intersect(b, slices=("f0", "f1")).ToPython()) == [2]
+    assert sorted(a.Union(b, slices=(("f1", "f0"), ("f0", "f1"))).ToPython(), key=str) == [{"f1": "x", "f0": 1}, {"f1": "y", "f0": 2}, {"f1": "z", "f0": 3}]
+
+
+def test_no_sort_of_all_rows_where_only_the_order_counts(g):
+    text = lambda ds: ds.df._jdf.queryExecution().executedPlan().toString()
+    for ds in (g.Unique("f0"), g.GroupBy("f0").Get("f0", a=_.f2.First())):
+        assert "rangepartitioning" not in text(ds) and "__pos" not in text(ds)
+
+
 def test_grid_has_empty_cells(spark):
     d = rep(spark, [(1, "a", 5), (2, "b", 6)])
     cells = {(r["f0"], r["f1"]): (r["n"], r["m"]) for r in d.GroupBy("f0", "f1").Grid(n=_.f2.Count(), m=_.f2.Max()).ToPython()}

@@ -99,3 +99,19 @@ def test_catalog(spark):
     assert c.Query("SELECT count(*) AS n FROM t1").ToPython() == [4]
     c.Drop("t1")
     assert "t1" not in c.Tables()
+
+
+def test_lines_are_told_by_their_place(spark, tmp_path):
+    from lattica.sources.delimited import read_tsv
+    from lattica.sources.sequence_files import read_fasta, read_fastq
+
+    (tmp_path / "a.tsv").write_text("made by hand\non a day\nname\tn\nx\t1\nname\tn\ny\t2\n")
+    got = read_tsv(spark, str(tmp_path / "a.tsv"), skiprows=2, fieldnames=True)
+    assert got.Names == ["name", "n"] and sorted(map(tuple, got.toDF().collect())) == [("name", "n"), ("x", "1"), ("y", "2")]
+    (tmp_path / "b.tsv").write_text("# a comment\nname\tn\nx\t1\nname\tn\n# another\ny\t2\n")
+    assert sorted(map(tuple, read_tsv(spark, str(tmp_path / "b.tsv"), fieldnames=True).toDF().collect())) == [("name", "n"), ("x", "1"), ("y", "2")]
+    (tmp_path / "c.fa").write_text(">s1 a->b x\nAC\nGT\n>s2\n\nTT\n")
+    assert sorted(map(tuple, read_fasta(spark, str(tmp_path / "c.fa")).toDF().collect())) == [("s1 a->b x", "ACGT"), ("s2", "TT")]
+    long = "r" * 1_200_000
+    (tmp_path / "d.fq").write_text(f"@{long}\nAC\n+\n!!\n")
+    assert read_fastq(spark, str(tmp_path / "d.fq")).toDF().first().sequenceid == long

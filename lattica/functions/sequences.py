@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, WindowSpec
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +14,8 @@ LONG = T.LongType()
 
 @dataclass(frozen=True)
 class Sequence:
-    """rows: column over rows from (value, window in order, window by value, place); array: function of an array."""
+    """array: function of an array; result: type from type. Over rows see operators.sequence."""
 
-    rows: Callable[..., Column] | None
     array: Callable[..., Column]
     result: Callable[[T.DataType], T.DataType]
 
@@ -40,18 +38,14 @@ def _running(a: Column, t: T.DataType) -> Column:
     return F.aggregate(a, zero, step, lambda acc: acc["out"])
 
 
-def running_window(place: str, parents: list[str]) -> WindowSpec:
-    return W.partitionBy(*parents).orderBy(place).rowsBetween(W.unboundedPreceding, 0)
-
-
 def _sum_type(t: T.DataType) -> T.DataType:
     return T.DoubleType() if isinstance(t, (T.FloatType, T.DoubleType)) else LONG
 
 
 SEQUENCES: dict[str, Sequence] = {
-    "pos": Sequence(None, lambda a, t: F.transform(a, lambda x, i: i.cast("long")), lambda t: LONG),
-    "cumsum": Sequence(None, lambda a, t: _running(a, _sum_type(t)), _sum_type),
-    "argsort": Sequence(None, lambda a, t, descend=False: _order(a, descend), lambda t: LONG),
-    "rank": Sequence(None, lambda a, t, descend=False: _ranks(a, descend), lambda t: LONG),
-    "sorted": Sequence(None, lambda a, t, descend=False: F.transform(_order(a, descend), lambda i: F.get(a, i.cast("int"))), lambda t: t),
+    "pos": Sequence(lambda a, t: F.transform(a, lambda x, i: i.cast("long")), lambda t: LONG),
+    "cumsum": Sequence(lambda a, t: _running(a, _sum_type(t)), _sum_type),
+    "argsort": Sequence(lambda a, t, descend=False: _order(a, descend), lambda t: LONG),
+    "rank": Sequence(lambda a, t, descend=False: _ranks(a, descend), lambda t: LONG),
+    "sorted": Sequence(lambda a, t, descend=False: F.transform(_order(a, descend), lambda i: F.get(a, i.cast("int"))), lambda t: t),
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lattica.tables import shared_dir, spent, written
 
-__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "free_prefix", "let", "null_as", "read", "sampled", "spread_join", "shared_dir", "sliced", "spent", "texts_of", "written"]
+__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "fewer_files", "free_prefix", "let", "null_as", "read", "sampled", "spread_join", "shared_dir", "sliced", "spent", "texts_of", "written"]
 
 #: The characters that separate words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -68,6 +68,12 @@ def sampled(df: DataFrame, keys: list[str], by: str, most: tuple[int, ...]) -> D
     return out
 
 
+def fewer_files(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in as many partitions as this many rows need, where that is fewer than a shuffle's: small tables get few files."""
+    n = max(1, -(-rows // each))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """left joined with right, where a key has one row, so that no task gets all of a key's rows.
 

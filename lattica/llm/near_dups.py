@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, sliced, spent, spread_join, texts_of, written
+from lattica.llm.common import ascii_lower, fewer_files, sliced, spent, spread_join, texts_of, written
 
 REGISTERS, BASE, RATE, TOP = 192, 1.001, 20.0, 65534
 #: The chance to lose a pair exactly at the threshold is at most this.
@@ -36,7 +36,7 @@ MOST_LOST = 1e-6
 #: Pairs whose estimate is so many standard errors below the threshold aren't verified.
 MARGIN = 5.5
 #: Nodes of a block, bytes of full sets of a group to verify, and rows of a table that is broadcast, at most.
-BLOCK, CHUNK, MOST_BROADCAST = 2048, 1 << 20, 500_000
+BLOCK, CHUNK, MOST_BROADCAST = 2048, 1 << 19, 200_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -170,15 +170,16 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "digest binary, words binary")
 
 
-def _needed_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
-    """The full sets of some nodes, as a table; only texts with the least ids of the nodes' classes are read into sets.
+def _needed_sets(nodes: DataFrame, most: int, classes: DataFrame, docs: DataFrame, size: int, name: str) -> DataFrame:
+    """The full sets of some nodes, of which there are at most `most`, as a table; only texts with the least ids of the nodes' classes are read into sets.
 
     An id may have several texts, so a set goes to its node by the digest.
     """
-    ids = written(classes.select("node", "digest", "least").join(nodes.distinct(), "node", "left_semi"), f"{name}-ids")
-    near = F.broadcast if ids.count() <= MOST_BROADCAST else lambda x: x
+    ids = written(fewer_files(classes.select("node", "digest", "least").join(nodes.distinct(), "node", "left_semi"), most), f"{name}-ids")
+    n = ids.count()
+    near = F.broadcast if n <= MOST_BROADCAST else lambda x: x
     sets = _sets(docs.join(near(ids.select(F.col("least").alias("doc_id")).distinct()), "doc_id", "left_semi"), size)
-    out = written(sets.join(near(ids.select("digest", "node")), "digest").select("node", "words").dropDuplicates(["node"]), f"{name}-sets")
+    out = written(fewer_files(sets.join(near(ids.select("digest", "node")), "digest").select("node", "words").dropDuplicates(["node"]), n, 5_000), f"{name}-sets")
     spent(ids)
     return out
 
@@ -215,10 +216,11 @@ def could_be(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, sim
     return (np.minimum(u, 1 - u) / np.maximum(u, 1 - u) > low) & (_likelihood(low + 1e-4, u, more, less) >= _likelihood(low - 1e-4, u, more, less))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, as a table."""
-    pairs = written(pairs, f"{name}-pairs")
-    sets = _needed_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), classes, docs, size, name)
+def _verified(pairs: DataFrame, most: int, classes: DataFrame, docs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Of at most `most` pairs those (a, b) whose full sets have 100 * intersection >= percent * union, as a table."""
+    pairs = written(fewer_files(pairs, most), f"{name}-pairs")
+    most = pairs.count()
+    sets = _needed_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * most, classes, docs, size, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +234,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("words").alias(f"w{c}"))
-    links = written(spread_join(pairs.join(side("a"), "a"), side("b"), "b", *_by_b(pairs)).mapInArrow(run, "a long, b long"), f"{name}-links")
+    links = written(fewer_files(spread_join(pairs.join(side("a"), "a"), side("b"), "b", *_by_b(pairs)).mapInArrow(run, "a long, b long"), most, 10_000), f"{name}-links")
     spent(pairs, sets)
     return links
 
@@ -244,21 +246,23 @@ def _stars(edges: DataFrame) -> bool:
     return ends.where((F.col("out") > 1) | (F.col("out") > 0) & (F.col("into") > 0)).isEmpty()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (the least node) of every node that an edge (a, b) has; by large-star and small-star rounds. A table."""
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+def components(edges: DataFrame, most: int) -> DataFrame:
+    """node, component (the least node) of every node that one of at most `most` edges (a, b) has; by large-star and small-star rounds. A table."""
+    edges = written(fewer_files(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), most), "edges")
     while not _stars(edges):
+        n = edges.count()
         both = edges.union(edges.select("b", "a"))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("b").alias("k")), "least")
-        near = spread_join(both, least.drop("k"), "a", least, 2 * edges.count())
-        large = written(near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "large")
+        least = written(fewer_files(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("b").alias("k")), 2 * n), "least")
+        near = spread_join(both, least.drop("k"), "a", least, 2 * n)
+        large = written(fewer_files(near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), n), "large")
         spent(least, edges)
-        least = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("k")), "least")
-        near = spread_join(large, least.drop("k"), "a", least, large.count())
-        edges = written(near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct(), "edges")
+        n = large.count()
+        least = written(fewer_files(large.groupBy("a").agg(F.min("b").alias("m"), F.count("b").alias("k")), n), "least")
+        near = spread_join(large, least.drop("k"), "a", least, n)
+        edges = written(fewer_files(near.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct(), n), "edges")
         spent(least, large)
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    out = written(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct(), "components")
+    out = written(fewer_files(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own).distinct(), 2 * most), "components")
     spent(edges)
     return out
 
@@ -342,15 +346,17 @@ def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
     """
     similarity = percent / 100
     rows = shared.where("node <> pivot").join(members, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
-    rows = written(rows, "residual")
+    n = shared.count()
+    rows = written(fewer_files(rows, n), "residual")
     parts = rows.groupBy("key", "component").agg(F.count("node").alias("k"))
     many = parts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.max("k").alias("n_major"), F.sum("k").alias("k"), F.count("k").alias("parts"))
-    mixed = written(many.where("parts > 1").select("key", "major", "n_major", "k"), "mixed")
+    mixed = written(fewer_files(many.where("parts > 1").select("key", "major", "n_major", "k"), n // 2), "mixed")
     if mixed.isEmpty():
         spent(rows, mixed)
         return None
-    held = rows.join(F.broadcast(mixed), "key") if mixed.count() <= MOST_BROADCAST else spread_join(rows, mixed, "key", mixed, rows.count())
-    rows_mixed = written(held.withColumn("own", F.xxhash64("node", "key")), "mixed-rows")
+    held = rows.join(F.broadcast(mixed), "key") if mixed.count() <= MOST_BROADCAST else spread_join(rows, mixed, "key", mixed, n)
+    rows_mixed = written(fewer_files(held.withColumn("own", F.xxhash64("node", "key")), n), "mixed-rows")
+    n = rows_mixed.count()
     low, high = F.ceil((F.col("k") - F.col("n_major")) / BLOCK).cast("int"), F.ceil(F.col("n_major") / BLOCK).cast("int")
     in_major = F.col("component") == F.col("major")
     dealt = rows_mixed.join(classes.select("node", "n", "sketch"), "node").withColumns({"low": low, "high": high})
@@ -359,13 +365,15 @@ def _across(shared: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
     dealt = dealt.withColumn("other", F.explode(others))
     dealt = dealt.select("key", "band", "node", "component", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.greatest("block", "other") == F.col("low")).alias("inner"))
     band_rows = rows_in_band(similarity)
-    groups = written(dealt.groupBy("key", "i", "j").applyInArrow(lambda t: screened(t, similarity, band_rows), "sub long, node long, component long, part int"), "likely")
+    likely = dealt.groupBy("key", "i", "j").applyInArrow(lambda t: screened(t, similarity, band_rows), "sub long, node long, component long, part int")
+    groups = written(fewer_files(likely, n, 10_000), "likely")
     spent(rows, mixed, rows_mixed)
     if groups.isEmpty():
         spent(groups)
         return None
-    sets = _needed_sets(groups.select("node"), classes, docs, size, "rest")
-    links = written(groups.join(sets, "node").groupBy("sub").applyInArrow(lambda t: linked(t, percent), "a long, b long"), "rest-links")
+    n = groups.count()
+    sets = _needed_sets(groups.select("node"), n, classes, docs, size, "rest")
+    links = written(fewer_files(groups.join(sets, "node").groupBy("sub").applyInArrow(lambda t: linked(t, percent), "a long, b long"), n, 5_000), "rest-links")
     spent(groups, sets)
     return links
 
@@ -386,36 +394,44 @@ def near_dups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     all_rows = written(_sketched(docs, size), "sketches")
     full = all_rows.where("doc_id IS NOT NULL AND n > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("n").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    n_rows = all_rows.count()
+    classes = written(fewer_files(classes, n_rows).withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = rows_in_band(similarity)
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sketch", 1 + 2 * rows * k, 2 * rows)) for k in range(REGISTERS // rows)))
     banded = classes.select("node", F.posexplode(keys).alias("band", "key"))
-    pivots = written(banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("node").alias("k")).where("pivot < last").select("key", "pivot", "k"), "pivots")
+    n = classes.count() * (REGISTERS // rows)
+    pivots = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("node").alias("k")).where("pivot < last").select("key", "pivot", "k")
+    pivots = written(fewer_files(pivots, n // 2), "pivots")
     least = pivots.drop("k")
-    shared = banded.join(F.broadcast(least), "key") if pivots.count() <= MOST_BROADCAST else spread_join(banded, least, "key", pivots, classes.count() * (REGISTERS // rows))
-    shared = written(shared, "shared")
-    stars = written(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    links = _verified(_likely(stars, classes, similarity), classes, docs, size, percent, "star")
-    members = components(links)
+    shared = banded.join(F.broadcast(least), "key") if pivots.count() <= MOST_BROADCAST else spread_join(banded, least, "key", pivots, n)
+    shared = written(fewer_files(shared, n), "shared")
+    stars = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = written(fewer_files(stars, shared.count()), "stars")
+    links = _verified(_likely(stars, classes, similarity), stars.count(), classes, docs, size, percent, "star")
+    n = links.count()
+    members = components(links, n)
     more = _across(shared, members, classes, docs, size, percent)
     spent(pivots, shared, stars, links)
     # Classes that have an id in common hang together by it.
-    several = written(full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id"), "several")
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x < y").select("doc_id")
+    several = written(fewer_files(several, n_rows // 2), "several")
     final, tables = members, [several, members]
     if more is not None or not several.isEmpty():
-        texts = written(full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node"), "texts")
+        texts = full.select("doc_id", "digest").join(several, "doc_id", "left_semi").distinct().join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+        texts = written(fewer_files(texts, n_rows), "texts")
         own = texts.join(texts.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
         edges = members.select(F.col("node").alias("a"), F.col("component").alias("b")).union(own)
-        final = components(edges if more is None else edges.union(more))
+        final = components(edges if more is None else edges.union(more), members.count() + texts.count() + (0 if more is None else more.count()))
         tables += [texts, final] + ([] if more is None else [more])
     named = final.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("id"), F.count("least").alias("k"))
-    named = written(named, "named")
-    ids = spread_join(final, named.drop("k"), "component", named, final.count()).select("node", "id")
+    n = final.count()
+    named = written(fewer_files(named, n), "named")
+    ids = spread_join(final, named.drop("k"), "component", named, n).select("node", "id")
     changed = classes.select("node", "digest", "copies", "least").join(ids, "node", "left").where("copies > 1 OR id IS NOT NULL")
-    changed = written(changed.select("digest", F.coalesce("id", "least").alias("component"), F.col("copies").alias("k")), "changed")
+    changed = written(fewer_files(changed.select("digest", F.coalesce("id", "least").alias("component"), F.col("copies").alias("k")), n_rows), "changed")
     spent(classes, named, *tables)
     # Rows without words have no class; their digest is one of their own, lest they all go to one task.
     out = all_rows.select("doc_id", "n", F.coalesce("digest", F.concat(F.lit("none "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("digest"))
-    out = spread_join(out, changed.drop("k"), "digest", changed, all_rows.count(), "left")
+    out = spread_join(out, changed.drop("k"), "digest", changed, n_rows, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -30,19 +30,20 @@ def along(ds: Dataset, named: dict[str, Expr]) -> Dataset:
             df = df.withColumn(out, F.col("__pos"))
         elif e.kind == "cumsum":
             block = F.floor(F.col("__pos") / RANGE).cast("long")
+            # One row for each RANGE rows is all that the window over blocks sorts.
             totals = df.groupBy(block.alias("__b")).agg(F.sum(v.column).alias("__t"))
             before = totals.select("__b", (F.coalesce(F.sum("__t").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
             within = F.sum(v.column).over(W.partitionBy("__b").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0))
             df = df.withColumn("__b", block).join(before, "__b").withColumn(out, (F.coalesce(within, F.lit(0)) + F.col("__before")).cast(t)).drop("__b", "__before")
         elif e.kind in ("rank", "argsort"):
-            # Missing values come last; descending is ascending from behind.
-            keyed = df.select("__pos", v.column.isNull().alias("__n"), v.column.alias("__v"))
-            ranked = positions(keyed, ["__n", "__v", "__pos"], "__rank")
+            # Missing values come last; descending is ascending from behind. A rank's row goes along through the sort.
+            n = df.count() if descend else 0
+            keyed = df.withColumns({"__n": v.column.isNull(), "__v": v.column}) if e.kind == "rank" else df.select("__pos", v.column.isNull().alias("__n"), v.column.alias("__v"))
+            ranked = positions(keyed, ["__n", "__v", "__pos"], "__rank").drop("__n", "__v")
             if descend:
-                n = df.count()
                 ranked = ranked.withColumn("__rank", F.lit(n - 1) - F.col("__rank"))
             if e.kind == "rank":
-                df = df.join(ranked.select("__pos", F.col("__rank").alias(out)), "__pos")
+                df = ranked.withColumnRenamed("__rank", out)
             else:
                 df = df.join(ranked.select(F.col("__rank").alias("__pos"), F.col("__pos").alias(out)), "__pos")
         else:

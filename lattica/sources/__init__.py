@@ -22,6 +22,21 @@ WRITERS: dict[str, Callable[..., None]] = {
 }
 
 
+class Catalog:
+    """Named sources of one's own, by category: catalog.register(f, "feats", "yeast"), then catalog.yeast.feats(spark)."""
+
+    def register(self, source: Callable[..., Any], name: str | None = None, category: str | None = None) -> None:
+        if category:
+            if category not in vars(self):
+                setattr(self, category, Catalog())
+            getattr(self, category).register(source, name)
+        else:
+            setattr(self, name or source.__name__, source)
+
+
+catalog = Catalog()
+
+
 def add_format(extension: str, reader: Callable[..., Any] | None = None, writer: Callable[..., None] | None = None) -> None:
     """Register a format of one's own."""
     if reader:

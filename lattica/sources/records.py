@@ -79,11 +79,26 @@ def read_psimi(spark: SparkSession, path: str) -> dict[str, Dataset]:
     return out
 
 
-_RECORD = "accession string, name string, description string, organism string, length long, seq string, feat_type array<string>, feat_loc array<string>, feat_attr array<map<string,string>>"
+_RECORD = "accession string, name string, description string, organism string, length long, seq string, contig string, feat_type array<string>, feat_loc array<string>, feat_attr array<map<string,string>>, feat_spans array<array<struct<ref:string,start:bigint,end:bigint,strand:string,partial:boolean>>>"
+_SPAN = re.compile(r"(complement|join|order|bond|one-of)?\(|\)|(?:([\w.|-]+):)?([<>]?)(\d+)(?:(?:\.\.|\.|\^)([<>]?)(\d+))?")
+
+
+def spans(location: str) -> list[dict]:
+    """The stretches of a location in the order of the text, from 1 on, both ends included: "complement(join(3..5,<9))"."""
+    out, turned = [], [False]
+    for m in _SPAN.finditer(location.replace(" ", "")):
+        if m[0].endswith("("):
+            turned.append(turned[-1] != (m[1] == "complement"))
+        elif m[0] == ")":
+            if len(turned) > 1:
+                turned.pop()
+        else:
+            out.append({"ref": m[2], "start": int(m[4]), "end": int(m[6] or m[4]), "strand": "-" if turned[-1] else "+", "partial": bool(m[3] or m[5])})
+    return out
 
 
-def _feature_table(lines: list[str], indent: int) -> tuple[list[str], list[str], list[dict[str, str]]]:
-    """Types, locations and attributes of feature lines whose qualifiers begin at a column."""
+def _feature_table(lines: list[str], indent: int) -> tuple[list[str], list[str], list[dict[str, str]], list[list[dict]]]:
+    """Types, locations, attributes and spans of feature lines whose qualifiers begin at a column."""
     types, locations, attributes = [], [], []
     last = None
     for line in lines:
@@ -100,7 +115,7 @@ def _feature_table(lines: list[str], indent: int) -> tuple[list[str], list[str],
             attributes[-1][last] = (attributes[-1][last] + " " * (last != "translation") + rest).strip('"')
         elif locations:
             locations[-1] += rest
-    return types, locations, attributes
+    return types, locations, attributes, list(map(spans, locations))
 
 
 def _genbank(text: str) -> tuple | None:
@@ -113,7 +128,7 @@ def _genbank(text: str) -> tuple | None:
     features = re.search(r"^FEATURES.*\n((?: .*\n?)*)", text, re.M)
     origin = re.search(r"^ORIGIN.*\n((?:[ \d].*\n?)*)", text, re.M)
     seq = re.sub(r"[^A-Za-z]", "", origin[1]) if origin else ""
-    return (value("ACCESSION"), value("LOCUS").split()[0], value("DEFINITION"), value("ORGANISM"), len(seq), seq, *_feature_table(features[1].splitlines() if features else [], 21))
+    return (value("ACCESSION"), value("LOCUS").split()[0], value("DEFINITION"), value("ORGANISM"), len(seq), seq, value("CONTIG"), *_feature_table(features[1].splitlines() if features else [], 21))
 
 
 def _embl(text: str) -> tuple | None:
@@ -123,23 +138,23 @@ def _embl(text: str) -> tuple | None:
         return None
     seq = "".join(re.sub(r"[^A-Za-z]", "", x) for x in lines if x.startswith("     "))
     features = [x[2:].ljust(3) and "  " + x[2:] for x in lines if x.startswith("FT")]
-    return (";".join(of("AC")).strip(";").split(";")[0] or None, re.split(r"[;\s]", of("ID")[0])[0], " ".join(of("DE")), " ".join(of("OS")), len(seq), seq, *_feature_table(features, 21))
+    return (";".join(of("AC")).strip(";").split(";")[0] or None, re.split(r"[;\s]", of("ID")[0])[0], " ".join(of("DE")), " ".join(of("OS")), len(seq), seq, "".join(of("CO")) or None, *_feature_table(features, 21))
 
 
 def _read_flat(spark: SparkSession, path: str, parse_one: Any) -> Dataset:
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [r for r in map(parse_one, frame["value"]) if r]
-            yield pd.DataFrame(found, columns=[x.split()[0] for x in _RECORD.split(", ")])
+            yield pd.DataFrame(found, columns=[x.split()[0] for x in re.split(r", (?=\w+ )", _RECORD)])
 
     records = spark.read.option("lineSep", "\n//").text(path).select(F.ltrim("value").alias("value") if parse_one is _embl else "value")
     df = records.mapInPandas(parse, _RECORD)
-    dims = lambda n: ("records", "feats") if n.startswith("feat_") else ("records",)
+    dims = lambda n: ("records", *["feats"] * n.startswith("feat_"), *["spans"] * (n == "feat_spans"))
     return Dataset(df, [Slice(n, n, dims(n)) for n in df.columns], "records")
 
 
 def read_genbank(spark: SparkSession, path: str) -> Dataset:
-    """Records with accession, name, description, organism, sequence, and features along an inner dim."""
+    """Records with accession, name, description, organism, sequence or contig, and features along an inner dim, their spans along one more."""
     return _read_flat(spark, path, _genbank)
 
 

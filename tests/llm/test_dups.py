@@ -63,6 +63,7 @@ def families(seed=4):
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_near_dups(spark, size, percent, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 20)
+    monkeypatch.setattr(M, "CHUNK", 4000)
     rows = families()
     got = sorted(map(tuple, M.near_dups(frame(spark, rows), size, percent).collect()), key=repr)
     assert got == brute(rows, size, percent)
@@ -107,5 +108,5 @@ def test_bands():
 
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in M.components(edges).collect()}
+    got = {r.node: r.component for r in M.components(edges, 70).collect()}
     assert {got[k] for k in range(1, 61)} == {1} and got[101] == got[100] == 100

@@ -87,6 +87,17 @@ def test_records(spark, tmp_path):
     embl = 'ID   X2; SV 1; linear;\nAC   X2;\nDE   words\nOS   Y z\nFT   gene            1..6\nFT                   /gene="abc"\nSQ   Sequence 6 BP;\n     acgtac   6\n//\n'
     row = read(spark, _file(tmp_path, "x.embl", embl)).ToPython()[0]
     assert (row["accession"], row["name"], row["seq"], row["feat_type"], row["feat_attr"]) == ("X2", "X2", "acgtac", ["gene"], [{"gene": "abc"}])
+    assert row["feat_spans"] == [[{"ref": None, "start": 1, "end": 6, "strand": "+", "partial": False}]]
+
+
+def test_spans_and_named_sources(spark):
+    from lattica.sources import catalog
+    from lattica.sources.records import spans
+
+    got = [(x["ref"], x["start"], x["end"], x["strand"], x["partial"]) for x in spans("join(complement(3..5),J00194.1:100..202,complement(join(<9, 12^13)),7..>8)")]
+    assert got == [(None, 3, 5, "-", False), ("J00194.1", 100, 202, "+", False), (None, 9, 9, "-", True), (None, 12, 13, "-", False), (None, 7, 8, "+", True)]
+    catalog.register(lambda spark: rep(spark, [1, 2]), "numbers", "tests")
+    assert catalog.tests.numbers(spark).ToPython() == [1, 2]
 
 
 def test_catalog(spark):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.tables import shared_dir, spent, written
 
-__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "fewer_files", "free_prefix", "let", "null_as", "read", "sampled", "spread_join", "shared_dir", "sliced", "spent", "texts_of", "written"]
+__all__ = ["WORD_GAP", "ascii_lower", "crc_of", "fewer_files", "free_prefix", "kept_for", "let", "null_as", "read", "sampled", "spread_join", "shared_dir", "sliced", "spent", "texts_of", "tidy", "written"]
 
 #: The characters that separate words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -68,6 +71,36 @@ def sampled(df: DataFrame, keys: list[str], by: str, most: tuple[int, ...]) -> D
     return out
 
 
+_kept: dict[str, dict[str, Any]] = {}
+
+
+def kept_for(operator: str) -> dict[str, Any]:
+    """What a Python process keeps between tasks for an operator; what it kept for others goes."""
+    for other in [x for x in _kept if x != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
+def tidy(operator: str) -> Callable:
+    """Decorator of an operator's work on batches: processes serve one operator after another, so at a task's end free memory goes back to the system."""
+
+    def around(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+        @functools.wraps(run)
+        def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept_for(operator)
+            try:
+                yield from run(batches)
+            finally:
+                pa.default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim:
+                    trim(0)
+
+        return out
+
+    return around
+
+
 def fewer_files(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
     """df in as many partitions as this many rows need, where that is fewer than a shuffle's: small tables get few files."""
     n = max(1, -(-rows // each))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, fewer_files, sliced, spent, spread_join, texts_of, written
+from lattica.llm.common import ascii_lower, fewer_files, sliced, spent, spread_join, texts_of, tidy, written
 
 REGISTERS, BASE, RATE, TOP = 192, 1.001, 20.0, 65534
 #: The chance to lose a pair exactly at the threshold is at most this.
@@ -105,7 +105,7 @@ def estimates(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     """Most likely similarities, by how many registers of a are above, and below, those of b, and both sets' sizes."""
     u = n_a / (n_a + n_b)
     low, high = np.zeros_like(u), np.minimum(u / (1 - u), (1 - u) / u)
-    for _ in range(40):  # the likelihood has one peak
+    for _ in range(24):  # the likelihood has one peak; to 1e-4
         third = (high - low) / 3
         left, right = low + third, high - third
         up = _likelihood(left, u, more, less) < _likelihood(right, u, more, less)
@@ -141,6 +141,7 @@ def shared_sizes(sets: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[np.
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n, digest, sketch of every row."""
 
+    @tidy("near duplicates")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches, "text", 1 << 19):
@@ -161,6 +162,7 @@ def _sketched(docs: DataFrame, size: int) -> DataFrame:
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """digest and full set of every row doc_id, text that has words."""
 
+    @tidy("near duplicates")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in sliced(batches, "text", 1 << 20):
@@ -185,14 +187,16 @@ def _needed_sets(nodes: DataFrame, most: int, classes: DataFrame, docs: DataFram
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that could be similar enough by sizes and registers."""
+    """The pairs (a, b) whose most likely similarity by sizes and registers, and MARGIN standard errors, reach the threshold."""
 
+    @tidy("near duplicates")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-                good = could_be(x, y, n_a, n_b, similarity)
+                most_likely = estimates(np.count_nonzero(x > y, axis=1), np.count_nonzero(x < y, axis=1), n_a, n_b)
+                good = most_likely >= similarity - MARGIN * np.sqrt(similarity * (1 - similarity) / REGISTERS) - 1e-3
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
@@ -222,6 +226,7 @@ def _verified(pairs: DataFrame, most: int, classes: DataFrame, docs: DataFrame,
     most = pairs.count()
     sets = _needed_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), 2 * most, classes, docs, size, name)
 
+    @tidy("near duplicates")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

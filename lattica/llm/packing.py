@@ -7,7 +7,8 @@ The tiers are powers of two up to the longest window. Each task packs the docume
 * A pool of such rests is packed from the longest tier to the shortest. Each window starts from the longest rest of
   its tier; its gap is filled from shorter rests, the longest that fits first, and in the end by cutting one, so that
   windows are full. What no window of its own tier needs moves on to shorter tiers.
-* The last rests of a task are cut to powers of two, so nothing is padded.
+* The last rests of a task are cut to powers of two, so nothing is padded. That gives a task a few windows shorter than
+  the shortest tier, at least one token long: of each power of two one at most.
 
 Windows of a tier form step groups of equal token counts. What a task's tiers have left over at its end fills groups
 across tiers, so of a task one group at most has fewer tokens. Nothing is shuffled: documents stay in their tasks.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import sliced, texts_of
+from lattica.llm.common import sliced, texts_of, tidy
 from lattica.llm.token_fst import transducer
 
 ROWS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -148,9 +149,11 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048
     """Pieces of all documents in sequences of at most `longest` tokens; a document is its ids and then end_id.
 
     A null or empty text is end_id alone; a null id stays null (its pieces then can't be told from those of another
-    null id); repeated rows are documents of their own; other columns are not read; an empty table gives no rows.
+    null id); repeated rows are documents of their own; other columns are not read; an empty table gives no rows. A very
+    long text fills windows of its own. Of rests of equal length any may come first.
     A task holds a pool of a few million tokens, besides the text it reads. sequence_id is unique over all tasks.
     """
+    @tidy("tokens")
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), longest)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import sliced, texts_of
+from lattica.llm.common import sliced, texts_of, tidy
 
 MARK = "▁"
 #: What an unknown character costs beyond the lowest score.
@@ -263,6 +263,7 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
     pieces = Pieces(model)
     columns = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
+    @tidy("pieces")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces)
         for batch in sliced(batches, "text", 1 << 20):
@@ -284,6 +285,7 @@ def decoded(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     pieces = Pieces(model)
     kept = [c for c in rows.columns if c != "text"]
 
+    @tidy("pieces")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [None if x is None else decode(pieces, np.array(x, np.int64)) for x in batch.column(ids).to_pylist()]

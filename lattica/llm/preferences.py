@@ -39,7 +39,8 @@ def preferences(turns: DataFrame, pairs: DataFrame | None = None, learned: str =
     turns: conv_id, turn, role, text. pairs: pair_id, chosen_id, rejected_id; without it an even conversation is the
     chosen partner of the next, odd one. Turns are in order of turn, then role, then text; null roles and texts are
     empty ones; rows with a null conv_id belong to no pair; a repeated row is a turn of its own; a pair of which one
-    side has no turns gives no row. Equal conversations give empty completions. Extra columns are not read.
+    side has no turns gives no row. Equal conversations give empty completions. An empty table gives no rows. A very
+    long text stays whole; a pair's turns are one row of the result, and so one row of a task. Extra columns are not read.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("said")).where(F.col("conv_id").isNotNull())
     if pairs is None:

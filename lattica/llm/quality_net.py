@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import crc_of, sliced, texts_of
+from lattica.llm.common import crc_of, sliced, texts_of, tidy
 from lattica.llm.toxicity import training_rows
 
 WIDTH, FILTERS, BLOCK = 5, 16, 256
@@ -155,6 +155,7 @@ def quality(docs: DataFrame, labels: DataFrame, most_bad: int = 1000, most_good:
     texts, y = training_rows(docs, labels, "quality", 4, 2, (most_bad, most_good), most_chars)
     net = Net().fit([t.encode("utf-8", "replace") for t in texts], y)
 
+    @tidy("quality")
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 1 << 20):
             score = net.score([t.encode("utf-8", "replace") for t in texts_of(batch.column("text"))])

@@ -58,8 +58,9 @@ def compiled(rules: list[tuple[str, float | None, float | None]], measures: dict
 def quality_rules(docs: DataFrame, rules: list[tuple[str, float | None, float | None]] = RULES, keep_columns: bool = False) -> DataFrame:
     """Counts and verdict of every text; keep_columns: beside the columns of docs, with the verdict as the last one, rule_kept.
 
-    Every row gives one row. A null or empty text has no words and fails. A null id stays null; repeated rows stay;
-    extra columns are not read, or kept as they are.
+    Every row gives one row. A null or empty text has no words and fails. A null id stays null; repeated rows stay; a
+    measure at its limit is good; an empty table gives no rows. A very long text is read whole, its words as one array of
+    a row. Extra columns are not read, or kept as they are; names that clash get another prefix.
     """
     p = free_prefix(docs.columns, "rule_")
     text = null_as(F.col("text").cast("string"))

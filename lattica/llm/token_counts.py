@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lattica.llm.common import sliced, texts_of
+from lattica.llm.common import sliced, texts_of, tidy
 from lattica.llm.token_fst import transducer
 
 ROWS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -22,6 +22,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     task holds at most about 1 MB of text at a time, or one text, however long.
     """
     # fmt: off
+    @tidy("tokens")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for batch in sliced(batches, "text", 1 << 20):

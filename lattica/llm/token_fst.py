@@ -24,6 +24,8 @@ from array import array
 
 import numpy as np
 
+from lattica.llm.common import kept_for
+
 # Splitter: classes of code points.
 SP, WS, LET, NUM, OTH, APO, C1, CR, CV, CE, CL, END = range(12)
 # Splitter: states.
@@ -186,11 +188,11 @@ class Merger:
 
     def _put(self, keys: np.ndarray, to: np.ndarray, delta: np.ndarray) -> None:
         """Add transitions whose keys are new."""
-        if (self.size + len(keys)) * 4 > len(self.key):
+        if (self.size + len(keys)) * 2 > len(self.key):
             used = self.key >= 0
             keys, to, delta = (np.concatenate(x) for x in ((self.key[used], keys), (self.next[used], to), (self.delta[used], delta)))
             self.size = 0
-            self._table((8 * len(keys)).bit_length())
+            self._table((4 * len(keys)).bit_length())
         self.size += len(keys)
         while len(keys):  # of keys with the same free slot one gets in at a time
             slot, one = np.unique(self._slots(keys), return_index=True)
@@ -244,7 +246,7 @@ class Merger:
                 pair = before << 32 | token
                 fit = self.fits.get(pair)
                 if fit is None:
-                    if len(self.fits) > self.most_states:
+                    if len(self.fits) > 100_000:
                         self.fits.clear()
                     fit = self.fits[pair] = self._fit(before, token)
                 if fit:
@@ -431,11 +433,9 @@ class Transducer:
         return [np.concatenate(x) for x in out]
 
 
-_loaded: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    """The transducer of a file, one for each process."""
-    if path not in _loaded:
-        _loaded[path] = Transducer(path)
-    return _loaded[path]
+    """The transducer of a file, one for each process that works on tokens."""
+    loaded = kept_for("tokens")
+    if path not in loaded:
+        loaded[path] = Transducer(path)
+    return loaded[path]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import crc_of, free_prefix, sampled, sliced, spent, texts_of, written
+from lattica.llm.common import crc_of, free_prefix, sampled, sliced, spent, texts_of, tidy, written
 
 SHORTEST, LONGEST, BITS, DIM = 3, 6, 18, 8
 BUCKETS = 1 << BITS
@@ -178,9 +178,9 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; keeps the sums of short words, up to a bound of about 40 MB."""
+    """Scores texts; keeps the sums of short words, up to a bound of about 25 MB."""
 
-    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 200_000, longest: int = 40):
+    def __init__(self, per_bucket: np.ndarray, bias: float, most_words: int = 100_000, longest: int = 40):
         self.per_bucket, self.bias, self.most, self.longest = per_bucket, bias, most_words, longest
         self.known: dict[str, tuple[float, float]] = {}
 
@@ -284,6 +284,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_clean: int = 4000, most_to
     first = first or rows.columns
     schema = T.StructType([*(rows.schema[c] for c in first), T.StructField(last[0], T.DoubleType()), T.StructField(last[1], T.IntegerType())])
 
+    @tidy("toxicity")
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(per_bucket, bias)
         for batch in sliced(batches, text, 1 << 20):

@@ -100,6 +100,17 @@ def test_registers_merge_and_estimates():
     assert abs(est[0] - truth) < 0.1
 
 
+def test_the_slope_says_what_the_estimate_says():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (500, M.REGISTERS)).astype(np.uint16)
+    y = np.where(rng.random(x.shape) < rng.random((500, 1)), x, rng.integers(0, 3, x.shape)).astype(np.uint16)
+    n_a, n_b = rng.integers(50, 60, 500).astype(float), rng.integers(50, 60, 500).astype(float)
+    est = M.estimates((x > y).sum(1), (x < y).sum(1), n_a, n_b)
+    low = 0.85 - M.MARGIN * np.sqrt(0.85 * 0.15 / M.REGISTERS)
+    sure = abs(est - low) > 2e-3
+    assert sure.sum() > 450 and (M.could_be(x, y, n_a, n_b, 0.85) == (est > low))[sure].all()
+
+
 def test_bands():
     for j in (0.8, 0.85):
         r = M.rows_in_band(j)

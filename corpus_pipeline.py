@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import free_prefix, read, spent, spread_join, written
+from lattica.llm.common import fewer_files, free_prefix, read, spent, spread_join, written
 from lattica.llm.near_dups import MOST_BROADCAST, near_dups
 from lattica.llm.packing import packed
 from lattica.llm.quality_rules import quality_rules
@@ -46,15 +46,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     row = free_prefix(docs.columns, "row_")
     docs_by_row = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = near_dups(docs_by_row.select(F.col(row).alias("doc_id"), "text"), size=5, percent=80)
-    found = written(found.where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("group"), "kept"), "found")
-    # Rows that are alone in their group need no look: only groups with a row that isn't kept do.
-    sizes = written(found.groupBy("group").agg(F.count(row).alias("k")).where("k > 1"), "sizes")
+    found = written(found.where("n_shingles > 0").select(F.col("doc_id").alias(row), F.col("component_id").alias("group")), "found")
     total = found.count()
+    sizes = written(fewer_files(found.groupBy("group").agg(F.count(row).alias("k")).where("k > 1"), total // 2), "sizes")
     grouped = spread_join(found.select(row, "group"), sizes.select("group"), "group", sizes, total)
-    members = written(grouped.join(docs_by_row.select(row, "doc_id"), row).select(row, "group", "doc_id"), "members")
+    members = written(fewer_files(grouped.join(docs_by_row.select(row, "doc_id"), row).select(row, "group", "doc_id"), total), "members")
     stay = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))[row].alias("stays"))
     gone = spread_join(members, stay, "group", sizes, total).where(F.col(row) != F.col("stays")).select(row)
-    gone = written(gone, "gone")
+    gone = written(fewer_files(gone, total), "gone")
     few = F.broadcast if gone.count() <= MOST_BROADCAST else lambda x: x
     spent(found, sizes, members)
     return docs_by_row.join(few(gone), row, "left_anti").select(*docs.columns)

@@ -180,6 +180,6 @@ def stack_missing(t):
     return t("customer").Get(id=_.c_custkey, seg=_.c_mktsegment).Stack(t("supplier").Get(id=_.s_suppkey, n=_.s_nationkey.Cast("int64")), by="name", stack_missing=True)
 
 
-@_r.add("SELECT n_name, n_regionkey, r_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) JOIN (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS p FROM region) USING (p)")
+@_r.add("SELECT n_name, n_regionkey, other FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) JOIN (SELECT n_name AS other, row_number() OVER (ORDER BY n_name DESC) AS p FROM nation) USING (p)")
 def combine_by_place(t):
-    return t("nation").Get("n_name", "n_regionkey").Combine(t("region").Get("r_name"))
+    return t("nation").Get("n_name", "n_regionkey").Combine(t("nation").Get(other="n_name").Sort("other", descend=True))
